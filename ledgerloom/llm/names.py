@@ -35,7 +35,7 @@ _LONG_LEGAL = tuple(sorted(w for w in LEGAL if len(w) >= 7))
 _LABEL = re.compile(r"^\s*[a-z]{2,7}\s*\*+\s*(?=\S)")
 _NUMBERED = re.compile(r"#\s*\d.*$", re.S)
 _PLACE_BEFORE = re.compile(r"^[^:]{1,40}:\s+(?=\S+\s+\S)", re.S)
-_PLACE_AFTER = re.compile(r"(\S\s+\S.*\S)\s+-\s+\S[^-]{0,40}$", re.S)
+_PLACE_AFTER = re.compile(r"(\S\s+\S.*\S)\s+-\s+\S[^-,|/]{0,40}$", re.S)
 _CAMEL = re.compile(r"(?:[A-Z][a-z]+){2,}")
 _WORDS = re.compile(r"[^\W_]+")
 
@@ -93,8 +93,12 @@ def sorted_key(form: str) -> str:
     return " ".join(sorted(form.split(" ")))
 
 
-def _token(x: str, y: str) -> str | None:
-    """How two tokens agree: equal, typo, short (abbreviated, cut off or a nickname), initial, or not at all."""
+def _token(x: str, y: str, edits: int = 1) -> str | None:
+    """How two tokens agree: equal, typo, short (abbreviated, cut off or a nickname), initial, or not at all.
+
+    A typo leaves all letters but one in order; with ``edits`` 2, all but two
+    of a token of six letters or more.
+    """
     if x == y:
         return "equal"
     if FULL_NAME.get(x, x) == FULL_NAME.get(y, y):
@@ -102,9 +106,10 @@ def _token(x: str, y: str) -> str | None:
     if len(x) > len(y):
         x, y = y, x
     common = None
-    if len(x) >= 4 and len(y) - len(x) <= 1:
+    allowed = edits if len(x) >= 6 else 1
+    if len(x) >= 4 and len(y) - len(x) <= allowed:
         common = lcs(x, y)
-        if common >= len(y) - 1:
+        if common >= len(y) - allowed:
             return "typo"
     if x[0] != y[0]:
         return None
@@ -120,10 +125,10 @@ def _token(x: str, y: str) -> str | None:
 STRONG, WEAK = "strong", "weak"
 
 
-def relation(a: str, b: str, anchor: int = 5, ratio: float = 0.5) -> tuple[str, int] | None:
+def relation(a: str, b: str, edits: int = 1, anchor: int = 5, ratio: float = 0.5) -> tuple[str, int] | None:
     """(``strong`` or ``weak``, letters in pairs of equal or nearly equal tokens) for two core forms, or None.
 
-    Strong: the tokens pair off in any order, at most one pair by a typo, at
+    Strong: the tokens pair off in any order, at most ``edits`` pairs by a typo, at
     least one pair of ``anchor`` letters or more equal or nearly so, the others
     equal or abbreviated, and the common subsequences of the pairs are at least
     ``ratio`` of all letters; or one form is the other written without blanks.
@@ -141,13 +146,13 @@ def relation(a: str, b: str, anchor: int = 5, ratio: float = 0.5) -> tuple[str,
     rank = {"equal": 0, "typo": 1, "short": 2, "initial": 3}
     anchored = False
     for x in sorted(ta, key=len, reverse=True):
-        best = min(((rank[k], y, k) for y in left if (k := _token(x, y))), default=None)
+        best = min(((rank[k], y, k) for y in left if (k := _token(x, y, edits))), default=None)
         if best is None:
             return None
         _, y, kind = best
         left.remove(y)
         typos += kind == "typo"
-        if typos > 1:
+        if typos > edits:
             return None
         weak |= kind == "initial"
         shared += min(len(x), len(y))
@@ -171,6 +176,9 @@ def _unspaced(a: str, tb: list[str], anchor: int) -> tuple[str, int] | None:
         return None
     if near or (a.startswith(joined) and _legal(a[len(joined) :])):
         return STRONG, len(joined)
-    rest, more = re.sub("^sons|and", "", a[len(tb[0]) :]), joined[len(tb[0]) :]
-    cut = a.startswith(tb[0]) and len(tb[0]) >= anchor and len(rest) >= 2 and rest[0] == more[0] and lcs(rest, more) == len(rest)
-    return (WEAK, len(tb[0])) if cut else None
+    for i, first in enumerate(tb):
+        if len(first) >= anchor and a.startswith(first):
+            rest, more = re.sub("^sons|and", "", a[len(first) :]), "".join(tb[i + 1 :] + tb[:i])
+            if len(rest) >= 2 and rest[0] == more[0] and lcs(rest, more) == len(rest):
+                return WEAK, len(first)
+    return None
