@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("variant_queries", "copy_queries", "incremental_queries", "overlap_queries", "leakage_queries", "mixing_queries")
+MODULES = ("variant_queries", "copy_queries", "incremental_queries", "overlap_queries", "leakage_queries", "mixing_queries", "reading_queries", "split_queries")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
