@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -34,27 +34,33 @@ def candidate_pairs(forms: DataFrame, common: int = 64) -> DataFrame:
     ``common`` forms share. Longer-shared suffixes are overly common: they are
     refined by the first letters of another token of the form (or of the token
     itself in front of the suffix) - three letters, or one where either token
-    is short enough to be an abbreviation. Refined blocks are never cut off.
+    is short enough to be an abbreviation. Refined blocks are never cut off,
+    but a pair must meet in the rarest token of one of its forms: what two
+    forms share without it is a trade or a first name, not a payee. (The second
+    rarest token takes part too, as a slip makes a common word the rarest.)
     A form of one long token may be a name written without blanks, whose words'
     suffixes lie inside it: it is also held against tokens that start alike.
     """
     tokens = forms.select("fid", F.array_distinct(F.split("form", " ")).alias("ts")).select("fid", "ts", F.explode("ts").alias("t"))
-    long = tokens.where(F.length("t") >= MIN_SUFFIX).select("fid", "t", "ts")
+    known = tokens.groupBy("t").agg(F.count("*").alias("df"))
+    ranks = Window.partitionBy("fid").orderBy("df", "t")
+    tokens = written(tokens.join(known, "t").withColumn("rank", F.row_number().over(ranks)), "tokens")
+    long = tokens.where(F.length("t") >= MIN_SUFFIX).select("fid", "t", "ts", "rank")
     suffixes = long.select("fid", "t", F.explode(F.transform(F.sequence(F.lit(MIN_SUFFIX), F.length("t")), lambda k: F.right(F.col("t"), k))).alias("s"))
     often = suffixes.groupBy("s").agg(F.countDistinct("fid").alias("n")).where(F.col("n") > common).select("s")
     depth = suffixes.join(often, "s").groupBy("fid", "t").agg(F.max(F.length("s")).alias("d"))
     level = written(long.join(depth, ["fid", "t"], "left").withColumn("d", F.coalesce("d", F.lit(0))), "level")
-    leaf = level.where(F.length("t") > F.col("d")).select("fid", F.right("t", F.greatest(F.lit(MIN_SUFFIX), F.col("d") + 1)).alias("key"), F.lit("").alias("x"))
-    partner = F.filter("ts", lambda o: (o != F.col("t")) | (F.length("t") > F.col("d")))
-    refined = level.where(F.col("d") > 0).select("fid", F.right("t", F.col("d")).alias("s"), F.explode(partner).alias("x"))
-    three = refined.where(F.length("x") >= 3).select("fid", F.concat_ws("|", "s", F.left("x", F.lit(3))).alias("key"), F.lit("").alias("x"))
-    blocks = leaf.unionByName(three).distinct()
+    leaf = level.where(F.length("t") > F.col("d")).select("fid", F.right("t", F.greatest(F.lit(MIN_SUFFIX), F.col("d") + 1)).alias("key"), F.lit(1).alias("rank"))
+    deep = level.where(F.col("d") > 0).select("fid", F.right("t", F.col("d")).alias("s"), "t", "d", F.col("rank").alias("of"))
+    refined = deep.join(tokens.select("fid", F.col("t").alias("x"), "rank"), "fid").where((F.col("x") != F.col("t")) | (F.length("t") > F.col("d")))
+    three = refined.where((F.length("x") >= 3) & (F.col("rank") <= 2)).select("fid", F.concat_ws("|", "s", F.left("x", F.lit(3))).alias("key"), "rank")
+    blocks = leaf.unionByName(three).groupBy("fid", "key").agg(F.min("rank").alias("rank"))
     unspaced = level.where((F.size("ts") == 1) & (F.length("t") >= UNSPACED)).select("fid", F.left("t", F.lit(START)).alias("key"))
     starts = level.where((F.size("ts") > 1) & (F.length("t") >= START)).select("fid", F.left("t", F.lit(START)).alias("key"))
-    one = refined.select("fid", F.concat_ws("|", "s", F.left("x", F.lit(1))).alias("key"), "x")
-    brief = one.where(F.length("x") <= SHORT)
-    pairs = blocks.alias("p").join(blocks.alias("q"), "key").where("p.fid < q.fid").select(F.col("p.fid").alias("a"), F.col("q.fid").alias("b"))
-    more = brief.alias("p").join(one.alias("q"), "key").where("p.fid <> q.fid").select(F.least("p.fid", "q.fid").alias("a"), F.greatest("p.fid", "q.fid").alias("b"))
+    one = refined.select("fid", F.concat_ws("|", "s", F.left("x", F.lit(1))).alias("key"), "of", (F.length("x") <= SHORT).alias("brief"))
+    one = one.groupBy("fid", "key", "brief").agg(F.min("of").alias("of"))
+    pairs = blocks.alias("p").join(blocks.alias("q"), "key").where("p.fid < q.fid and (p.rank = 1 or q.rank = 1)").select(F.col("p.fid").alias("a"), F.col("q.fid").alias("b"))
+    more = one.where("brief").alias("p").join(one.alias("q"), "key").where("p.fid <> q.fid and (p.of = 1 or q.of = 1)").select(F.least("p.fid", "q.fid").alias("a"), F.greatest("p.fid", "q.fid").alias("b"))
     glued = unspaced.alias("p").join(starts.alias("q"), "key").select(F.least("p.fid", "q.fid").alias("a"), F.greatest("p.fid", "q.fid").alias("b"))
     return pairs.unionByName(more).unionByName(glued).distinct()
 
