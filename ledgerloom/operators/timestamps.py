@@ -192,9 +192,9 @@ def estimate_zones(df: DataFrame, source: str, sequence: str, zones: list[str],
     ``run`` numbers every naive local time is compared with the middle of the
     nearest known instants before and after it, if these are at most ``gap``
     seconds apart; the difference, in quarters of an hour, is a vote for an
-    offset in that week. A candidate zone is violated by every vote that its
-    offset in that week doesn't give; the zone with the fewest violations wins,
-    ties by name. Votes are summed per source, week and offset before zones are
+    offset on that day. A candidate zone is violated by every vote that its
+    offset on that day doesn't give; the zone with the fewest violations wins,
+    ties by name. Votes are summed per source, day and offset before zones are
     tried, so what grows with the data is one shuffle of four narrow columns.
     Sources without votes are absent from the result.
     """
@@ -211,10 +211,10 @@ def estimate_zones(df: DataFrame, source: str, sequence: str, zones: list[str],
     after = F.first("known", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
     votes = base.select("source", "local", before.alias("a"), after.alias("b")).where((F.col("local").isNotNull()) & (F.abs(F.col("b") - F.col("a")) <= gap))
     middle = F.floor((F.col("a") + F.col("b")) / 2)
-    votes = votes.select("source", F.floor(middle / 604800).alias("week"), (F.round((F.col("local") - middle) / 900) * 900).cast("long").alias("offset"))
-    votes = votes.groupBy("source", "week", "offset").count().where(F.abs("offset") <= MAX_OFFSET)
+    votes = votes.select("source", F.floor(middle / 86400).alias("day"), (F.round((F.col("local") - middle) / 900) * 900).cast("long").alias("offset"))
+    votes = votes.groupBy("source", "day", "offset").count().where(F.abs("offset") <= MAX_OFFSET)
     tried = votes.withColumn("zone", F.explode(F.array(*[F.lit(z) for z in zones])))
-    noon = F.col("week") * 604800 + 302400
+    noon = F.col("day") * 86400 + 43200
     kept = F.col("offset") == _local_of(noon, F.col("zone")) - noon
     tried = tried.groupBy("source", "zone").agg(F.sum("count").alias("votes"), F.sum(F.when(kept, 0).otherwise(F.col("count"))).alias("violations"))
     return tried.groupBy("source").agg(F.min_by(F.struct("zone", "votes", "violations"), F.struct("violations", "zone")).alias("best")).select("source", "best.*")

@@ -9,11 +9,19 @@ from pyspark.sql import types as T
 from ledgerloom.functions import receipts, scalars
 from ledgerloom.functions.text import blank_to_null
 
-CANONICAL = T.StructType.fromDDL(
-    "id string, source string, source_record_id string, transaction_date string, merchant_raw string, merchant_norm string, amount double, currency string, direction string, payment_method string, "
-    "category_pred string, category_final string, confidence double, matched_transaction_id string, match_score double, evidence_keys array<string>, raw_payload string, tags array<string>"
+_KINDS = {"double": T.DoubleType(), "bigint": T.LongType(), "strings": T.ArrayType(T.StringType())}
+
+
+def _schema(text: str) -> T.StructType:
+    """Columns separated by blanks, text unless a kind follows a colon."""
+    return T.StructType([T.StructField(n, _KINDS.get(k, T.StringType())) for n, _, k in (c.partition(":") for c in text.split())])
+
+
+CANONICAL = _schema(
+    "id source source_record_id transaction_date merchant_raw merchant_norm amount:double currency direction payment_method "
+    "category_pred category_final confidence:double matched_transaction_id match_score:double evidence_keys:strings raw_payload tags:strings"
 )
-STAGING = T.StructType.fromDDL("rowid bigint, source string, source_record_id string, txn_ts string, amount double, currency string, merchant_raw string, description string, mcc string, mcc_description string, category_external string, subcategory_external string, raw_payload_json string")
+STAGING = _schema("rowid:bigint source source_record_id txn_ts amount:double currency merchant_raw description mcc mcc_description category_external subcategory_external raw_payload_json")
 
 
 def csv_rows(spark: SparkSession, path: str, header: list[str]) -> DataFrame:
