@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import records
 from ledgerloom.runtime import written
 
-WINDOW, DIVISOR, MIN_COVERAGE = 2, 4, 0.2
+WINDOW, DIVISOR, MIN_COVERAGE = 2, 2, 0.2
 
 
 def chunks_of(form: str) -> list[str]:
@@ -28,7 +28,7 @@ def chunks_of(form: str) -> list[str]:
             rolling = rolling * 31 + ord(ch)
             if i >= WINDOW:
                 rolling -= ord(word[i - WINDOW]) * 31**WINDOW
-            if i - start + 1 >= WINDOW and rolling % DIVISOR == 0:
+            if i - start + 1 >= WINDOW and (rolling * 2654435761 >> 13) % DIVISOR == 0:
                 out.append(word[start : i + 1])
                 start = i + 1
         if start < len(word):

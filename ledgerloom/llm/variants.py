@@ -36,8 +36,7 @@ def candidate_pairs(forms: DataFrame, common: int = 64) -> DataFrame:
     itself in front of the suffix) - three letters, or one where either token
     is short enough to be an abbreviation. Refined blocks are never cut off,
     but a pair must meet in the rarest token of one of its forms: what two
-    forms share without it is a trade or a first name, not a payee. (The second
-    rarest token takes part too, as a slip makes a common word the rarest.)
+    forms share without it is a trade or a first name, not a payee.
     A form of one long token may be a name written without blanks, whose words'
     suffixes lie inside it: it is also held against tokens that start alike.
     """
@@ -53,7 +52,7 @@ def candidate_pairs(forms: DataFrame, common: int = 64) -> DataFrame:
     leaf = level.where(F.length("t") > F.col("d")).select("fid", F.right("t", F.greatest(F.lit(MIN_SUFFIX), F.col("d") + 1)).alias("key"), F.lit(1).alias("rank"))
     deep = level.where(F.col("d") > 0).select("fid", F.right("t", F.col("d")).alias("s"), "t", "d", F.col("rank").alias("of"))
     refined = deep.join(tokens.select("fid", F.col("t").alias("x"), "rank"), "fid").where((F.col("x") != F.col("t")) | (F.length("t") > F.col("d")))
-    three = refined.where((F.length("x") >= 3) & (F.col("rank") <= 2)).select("fid", F.concat_ws("|", "s", F.left("x", F.lit(3))).alias("key"), "rank")
+    three = refined.where(F.length("x") >= 3).select("fid", F.concat_ws("|", "s", F.left("x", F.lit(3))).alias("key"), "rank")
     blocks = leaf.unionByName(three).groupBy("fid", "key").agg(F.min("rank").alias("rank"))
     unspaced = level.where((F.size("ts") == 1) & (F.length("t") >= UNSPACED)).select("fid", F.left("t", F.lit(START)).alias("key"))
     starts = level.where((F.size("ts") > 1) & (F.length("t") >= START)).select("fid", F.left("t", F.lit(START)).alias("key"))
