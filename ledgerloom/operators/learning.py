@@ -19,8 +19,8 @@ def text_classifier(df: DataFrame, text: str, label: str, features: int = 5000,
     """
     rows = df.where(F.col(label).isNotNull() & (F.length(F.trim(text)) > 0))
     per = rows.groupBy(label).agg(F.count("*").alias("_n"))
-    total = per.agg((F.sum("_n") / F.count("*")).alias("_m"))
-    rows = rows.join(per, label).crossJoin(F.broadcast(total)).withColumn("_weight", F.col("_m") / F.col("_n"))
+    mean = per.agg(F.avg("_n")).first()[0]
+    rows = rows.join(per, label).withColumn("_weight", F.lit(mean) / F.col("_n"))
     labels = StringIndexer(inputCol=label, outputCol="_y", handleInvalid="skip", stringOrderType="alphabetAsc").fit(rows)
     stages = [
         RegexTokenizer(inputCol=text, outputCol="_w", pattern=r"\b\w\w+\b", gaps=False), StopWordsRemover(inputCol="_w", outputCol="_s"), NGram(inputCol="_s", outputCol="_b", n=2),

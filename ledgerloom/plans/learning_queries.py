@@ -25,8 +25,9 @@ def uncertain(kind: str):
 def cosine_to_first(spark, root):
     """MLX-13: cosine of every vector to that of the least id."""
     e = table(spark, root, "embeddings")
-    first = e.orderBy("vec_id").limit(1).select(F.col("embedding").alias("other"))
-    return e.crossJoin(F.broadcast(first)).select("vec_id", F.round(learning.cosine(F.col("embedding"), F.col("other")), 5).alias("cosine"))
+    first = e.orderBy("vec_id").first()
+    other = F.array(*[F.lit(float(x)) for x in first["embedding"]])
+    return e.select("vec_id", F.round(learning.cosine(F.col("embedding"), other), 5).alias("cosine"))
 
 
 def diverse(spark, root):
