@@ -52,9 +52,9 @@ def mixture(documents: DataFrame, key: str, targets: DataFrame, seed: int = 17,
     """
     counted = written(token_counts(documents, key, tokenizers=tokenizers), "tokens")
     per_source = counted.groupBy("source").agg(F.sum("tokens").alias("source_tokens"), F.count("*").alias("n_docs"))
-    total = counted.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("corpus_tokens"))
-    plan = targets.select("source", "target_share", "max_repeats").join(per_source, "source", "left").crossJoin(F.broadcast(total))
-    budget = F.floor(F.coalesce(F.col("target_share"), F.lit(0.0)) * F.col("corpus_tokens"))
+    total = counted.agg(F.sum("tokens")).first()[0] or 0
+    plan = targets.select("source", "target_share", "max_repeats").join(per_source, "source", "left")
+    budget = F.floor(F.coalesce(F.col("target_share"), F.lit(0.0)) * F.lit(total))
     plan = plan.withColumn("budget", budget).withColumn("source_tokens", F.coalesce("source_tokens", F.lit(0))).withColumn("max_repeats", F.coalesce("max_repeats", F.lit(0)))
     passes = F.when(F.col("source_tokens") > 0, F.least(F.floor(F.col("budget") / F.col("source_tokens")), F.col("max_repeats"))).otherwise(0)
     plan = plan.withColumn("passes", passes.cast("int"))
@@ -65,10 +65,10 @@ def mixture(documents: DataFrame, key: str, targets: DataFrame, seed: int = 17,
     drawn = running.join(plan.select("source", "passes", "rest"), "source").select(key, "source", "tokens", times.alias("times")).where("times > 0")
     drawn = written(drawn, "drawn")
     got = drawn.groupBy("source").agg(F.sum(F.col("tokens") * F.col("times")).alias("drawn_tokens"), F.count("*").alias("drawn_docs"), F.max("times").alias("most_times"))
-    whole = drawn.agg(F.sum(F.col("tokens") * F.col("times")).alias("whole"))
-    shares = plan.join(got, "source", "left").crossJoin(F.broadcast(whole)).select(
+    whole = drawn.agg(F.sum(F.col("tokens") * F.col("times"))).first()[0]
+    shares = plan.join(got, "source", "left").select(
         "source", "target_share", "max_repeats", "n_docs", "source_tokens", "budget",
         F.coalesce("drawn_tokens", F.lit(0)).alias("drawn_tokens"), F.coalesce("drawn_docs", F.lit(0)).alias("drawn_docs"),
-        F.coalesce("most_times", F.lit(0)).alias("most_times"), (F.coalesce("drawn_tokens", F.lit(0)) / F.col("whole")).alias("actual_share"),
+        F.coalesce("most_times", F.lit(0)).alias("most_times"), (F.coalesce("drawn_tokens", F.lit(0)) / F.lit(whole)).alias("actual_share"),
     )
     return drawn, shares
