@@ -31,14 +31,6 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage through a reliable checkpoint in the shared folder."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a frame once as Parquet in the shared folder and read it back.
 
@@ -48,12 +40,3 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def clash_free(df: DataFrame, *names: str) -> str:
-    """A column name that no column of ``df`` and none of ``names`` has."""
-    taken = {c.lower() for c in df.columns} | {n.lower() for n in names}
-    base = "_loom"
-    while base in taken:
-        base += "_"
-    return base
