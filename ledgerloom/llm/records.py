@@ -31,7 +31,7 @@ def cents(amount: Column) -> Column:
 
 
 def direction(c: Column) -> Column:
-    return F.nullif(F.lower(F.btrim(c, F.lit(" \t\r\n "))), F.lit(""))
+    return F.nullif(F.lower(F.btrim(c, F.lit(" \t\r\n\u00a0"))), F.lit(""))
 
 
 def reference(source: Column, record_id: Column) -> Column:
