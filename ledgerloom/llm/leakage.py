@@ -34,41 +34,74 @@ def words_of(text: str | None) -> list[str]:
     """Words of a text without case, punctuation and markup; words broken at a line's end are joined."""
     if not text:
         return []
-    text = _JOINED.sub("", _TAG.sub(" ", text))
+    text = _TAG.sub(" ", text) if "<" in text else text
+    text = _JOINED.sub("", text) if "-" in text else text
     return _WORD.findall((html.unescape(text) if "&" in text else text).lower())
 
 
-def winnow(words: list[str], k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, positions) of the kept grams; a text shorter than a gram has none."""
-    n = len(words) - k + 1
+class _Hashes(dict):
+    """Word to 64-bit hash, computed once a word (within a bound on memory)."""
+
+    LIMIT = 500_000
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > self.LIMIT:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word)
+        return value
+
+
+def winnow_all(texts: list[list[str]], k: int = K, window: int = WINDOW, hashes: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, hash, position) of the kept grams of many texts, in order; a text shorter than a gram has none.
+
+    A text with fewer grams than a window keeps its least one.
+    """
+    hashes = _Hashes() if hashes is None else hashes
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    each = np.fromiter((hashes[w] for t in texts for w in t), np.uint64, int(sizes.sum()))
+    n = len(each) - k + 1
     if n < 1:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    codes, unique = pd.factorize(np.array(words, dtype=object))
-    each = np.fromiter((xxhash.xxh64_intdigest(w) for w in unique), np.uint64, len(unique))[codes]
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     grams = np.zeros(n, np.uint64)
     for i in range(k):
         grams = grams * np.uint64(0x9E3779B97F4A7C15) + each[i : i + n]
     grams ^= grams >> np.uint64(29)
     grams *= np.uint64(0xBF58476D1CE4E5B9)
-    if n <= window:
-        keep = np.array([int(grams.argmin())])
-    else:
-        keep = np.unique(np.lib.stride_tricks.sliding_window_view(grams, window).argmin(axis=1) + np.arange(n - window + 1))
-    return grams[keep].view(np.int64), keep
+    number = np.repeat(np.arange(len(texts)), sizes)
+    of = np.where(number[:n] == number[k - 1 :], number[:n], -1)
+    least, shift, inside = grams.copy(), np.zeros(n, np.int64), of >= 0
+    for o in range(1, window):
+        same = np.zeros(n, bool)
+        same[: n - o] = of[: n - o] == of[o:]
+        lower = np.zeros(n, bool)
+        lower[: n - o] = same[: n - o] & (grams[o:] < least[: n - o])
+        least[: n - o] = np.where(lower[: n - o], grams[o:], least[: n - o])
+        shift[lower] = o
+        inside &= same
+    first = (of >= 0) & np.append(True, of[1:] != of[:-1])
+    keep = np.unique((np.arange(n) + shift)[inside | first])
+    starts = np.cumsum(sizes) - sizes
+    return of[keep], grams[keep].view(np.int64), keep - starts[of[keep]]
+
+
+def winnow(words: list[str], k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, positions) of one text."""
+    return winnow_all([words], k, window)[1:]
 
 
 def _printer(key: str, wanted: np.ndarray | None):
     def run(batches):
+        hashes = _Hashes()
         for pdf in batches:
-            out = []
-            for key_value, text in zip(pdf[key], pdf["text"]):
-                words = words_of(text)
-                prints, at = winnow(words)
-                if wanted is not None:
-                    hit = np.isin(prints, wanted)
-                    prints, at = prints[hit], at[hit]
-                if len(prints):
-                    out.append((key_value, " ".join(words), prints.tolist(), at.tolist()))
+            texts = [words_of(t) for t in pdf["text"]]
+            number, prints, at = winnow_all(texts, hashes=hashes)
+            if wanted is not None:
+                hit = np.isin(prints, wanted)
+                number, prints, at = number[hit], prints[hit], at[hit]
+            those, start = np.unique(number, return_index=True)
+            end = np.append(start[1:], len(number))
+            keys = pdf[key].to_list()
+            out = [(keys[i], " ".join(texts[i]), prints[a:b].tolist(), at[a:b].tolist()) for i, a, b in zip(those, start, end)]
             yield pd.DataFrame(out, columns=[key, "words", "prints", "at"])
 
     return run
