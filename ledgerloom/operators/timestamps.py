@@ -185,6 +185,19 @@ def normal_form(df: DataFrame, home_zone: str, out: str = "norm", prefix: str =
     return df.withColumn(out, _pinned(norm)).drop(f"{p}in", f"{p}utc")
 
 
+def local_day(df: DataFrame, text: str, home_zone: str, date_order: str, out: str = "day", prefix: str = "ts_") -> DataFrame:
+    """Add date column ``out``: the calendar day of a timestamp text, as written; null for texts that are no date or time.
+
+    A day in the text counts as it stands, whatever zone the text names; Unix
+    times are read in the zone in column ``home_zone`` (UTC where it is null).
+    """
+    p = prefix
+    parsed = parse(df, text, date_order, p)
+    unix = F.date_from_unix_date(F.floor(_local_of(F.col(f"{p}instant"), F.coalesce(home_zone, F.lit("UTC"))) / 86400).cast("int"))
+    day = F.when(F.col(f"{p}kind") != "invalid", F.coalesce(f"{p}date", unix))
+    return parsed.withColumn(out, day).drop(*[f"{p}{x}" for x in ("kind", "date", "local", "instant", "zone")])
+
+
 def estimate_zones(df: DataFrame, source: str, sequence: str, zones: list[str], prefix: str = "ts_", run: int = 4096, gap: int = 1800) -> DataFrame:
     """Zone of each source by its offset history: (source, zone, votes, violations).
 

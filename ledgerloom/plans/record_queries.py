@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import evaluate, joins, ledger, rules, sampling
+from ledgerloom.operators import evaluate, joins, ledger, rules, sampling, timestamps
 from ledgerloom.runtime import table
 
 CATEGORIES = ["Advertising & Marketing", "COGS", "Education & Training", "Equipment & Software", "Financial Fees", "Income", "Insurance", "Meals & Entertainment", "Office Supplies", "Other Expense", "Payroll & Contractors", "Professional Services", "Rent & Utilities", "Repairs & Maintenance", "Taxes & Licenses", "Travel", "Vehicle Expenses"]
@@ -88,6 +88,19 @@ def _sides(spark, root):
     return c.where("source = 'receipt'"), c.where("source <> 'receipt'")
 
 
+def _all_sides(spark, root):
+    """Receipts and other rows whatever the writing of their dates (in the order of their source); rows without a usable date have a null day."""
+    home = table(spark, root, "source_profiles").select(F.col("source").alias("of"), "zone", "date_order")
+    c = table(spark, root, "canonical_records").join(F.broadcast(home), F.col("source") == F.col("of"), "left")
+    c = timestamps.local_day(c, "transaction_date", "zone", "date_order")
+    c = c.select("id", "source", "day", "amount", F.lower(F.coalesce("merchant_norm", "merchant_raw")).alias("name"), F.col("id").alias("rank"))
+    return c.where("source = 'receipt'"), c.where("source <> 'receipt' and day is not null")
+
+
+def _equal(a, b):
+    return F.when(a == b, 1.0).otherwise(0.0)
+
+
 @query("jon_01_best_match", r"""
     with c as (select id, source, try_cast(transaction_date as date) as day, amount, lower(coalesce(merchant_norm, merchant_raw)) as name from canonical_records where regexp_full_match(transaction_date, '\d{4}-\d{2}-\d{2}')),
     r as (select * from c where source = 'receipt' and day is not null), t as (select * from c where source <> 'receipt' and day is not null),
@@ -96,17 +109,24 @@ def _sides(spark, root):
     b as (select *, row_number() over (partition by left_id order by score desc, rid) as n from m)
     select r.id as left_id, case when b.score >= 0.75 then b.rid end as right_id, round(coalesce(b.score, 0), 6) as score from r left join b on b.left_id = r.id and b.n = 1""")
 def best_match(spark, root):
-    """JON-01..02: receipts to transactions by date, amount and equal names."""
+    """JON-01..02: receipts to transactions by date, amount and equal names; as its SQL, only rows with a date written yyyy-MM-dd."""
     receipts, others = _sides(spark, root)
-    same = lambda a, b: F.when(a == b, 1.0).otherwise(0.0)
-    m = joins.best_match(receipts, others, same)
+    m = joins.best_match(receipts, others, _equal)
+    return m.select("left_id", "right_id", F.round("score", 6).alias("score"))
+
+
+@query("jon_01_best_match_all")
+def best_match_all(spark, root):
+    """JON-01..02: the same for every receipt, whatever the writing of its date (no SQL)."""
+    receipts, others = _all_sides(spark, root)
+    m = joins.best_match(receipts, others, _equal)
     return m.select("left_id", "right_id", F.round("score", 6).alias("score"))
 
 
 @query("jon_01_best_match_ratio")
 def best_match_ratio(spark, root):
-    """JON-01 and STR-13: the same with the Ratcliff-Obershelp ratio of the names (no SQL)."""
-    receipts, others = _sides(spark, root)
+    """JON-01 and STR-13: every receipt with the Ratcliff-Obershelp ratio of the names (no SQL)."""
+    receipts, others = _all_sides(spark, root)
     m = joins.best_match(receipts, others, joins.floored_ratio)
     return m.select("left_id", "right_id", F.round("score", 6).alias("score"))
 
@@ -118,8 +138,17 @@ def best_match_ratio(spark, root):
     b as (select *, row_number() over (partition by left_id order by score desc, right_id) as n from m)
     select left_id, right_id, score, n, case when score >= 0.85 then 'strong' when score >= 0.65 then 'medium' else 'weak' end as strength from b where n <= 3""")
 def candidates(spark, root):
-    """JON-03: the three best candidates of every receipt, with their strength."""
-    r, t = _sides(spark, root)
+    """JON-03: the three best candidates of receipts, with their strength; as its SQL, only rows with a date written yyyy-MM-dd."""
+    return _candidates(*_sides(spark, root))
+
+
+@query("jon_03_candidates_all")
+def candidates_all(spark, root):
+    """JON-03: the same for receipts and transactions whatever the writing of their dates (no SQL)."""
+    return _candidates(*_all_sides(spark, root))
+
+
+def _candidates(r, t):
     near = r.select(F.col("id").alias("left_id"), F.col("day").alias("ld"), F.col("amount").alias("la")).withColumn("day", F.explode(F.sequence(F.date_sub("ld", 2), F.date_add("ld", 2))))
     m = near.join(t.select(F.col("id").alias("right_id"), "day", "amount"), "day").where("abs(la - amount) < 10")
     score = F.round(0.5 * (1 - F.abs(F.datediff("ld", "day")) / 3.0) + 0.5 * (1 - F.abs(F.col("la") - F.col("amount")) / 10.0), 6)
