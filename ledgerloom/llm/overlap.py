@@ -3,7 +3,9 @@
 A payment's name form becomes a 64-bit fingerprint. Fingerprints are cut into
 RADIUS + 1 segments; two within RADIUS bits agree in at least one segment, so
 joining the segments (within a slot of direction, amount and neighbouring days)
-finds every such pair. Pairs within the radius are confirmed by the names.
+finds every such pair. Names that are alike can lie further apart (a name cut
+off, or written without blanks), so the other pairs of a slot are candidates
+too. All candidates are confirmed by the names.
 """
 
 from __future__ import annotations
@@ -63,7 +65,8 @@ def same_record_classes(df: DataFrame, *keep: str) -> DataFrame:
     rows = records.prepared(df, *keep)
     pays = written(records.payments(rows), "payments")
     coded = written(pays.select("slot", "pay", "form", "day").mapInPandas(_fingerprints, "slot long, pay string, day int, code long"), "codes")
-    return records.classes(rows, records.confirmed(near_pairs(coded), pays))
+    pairs = near_pairs(coded).unionByName(records.slot_pairs(pays, pays)).distinct()
+    return records.classes(rows, records.confirmed(pairs, pays))
 
 
 def cross_split_pairs(classed: DataFrame, splits: DataFrame, slices: int = 16) -> DataFrame:

@@ -65,6 +65,17 @@ def payments(rows: DataFrame) -> DataFrame:
     return slots.join(busy, "slot")
 
 
+def slot_pairs(old: DataFrame, new: DataFrame) -> DataFrame:
+    """All pairs (a < b) of different payments of a slot at most a day apart, one of ``old`` and one of ``new``.
+
+    The exact candidates: whatever names ``confirmed`` accepts, the pair is among them.
+    """
+    o = old.select("slot", F.col("pay").alias("a"), F.col("day").alias("da")).distinct()
+    n = new.select("slot", F.col("pay").alias("b"), F.col("day").alias("db")).distinct()
+    met = o.join(n, "slot").where("a <> b and abs(da - db) <= 1")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _same(batches):
     for pdf in batches:
         ok = [a == b or relation(a, b, edits=2) is not None for a, b in zip(pdf["fa"], pdf["fb"])]
