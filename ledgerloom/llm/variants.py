@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ledgerloom.llm.graph import components
-from ledgerloom.llm.names import STRONG, WEAK, core, relation
+from ledgerloom.llm.names import FULL_NAME, NICKNAMES, STRONG, WEAK, _legal, core, relation
 from ledgerloom.runtime import written
 
 MIN_SUFFIX, SHORT, START, UNSPACED = 4, 6, 6, 10
@@ -26,6 +29,67 @@ def _related(batches):
         yield pdf[pdf["kind"].notna()][["a", "b", "fa", "fb", "kind", "firm"]]
 
 
+def _slips(word: str) -> set[str]:
+    """The word itself and without each one of its letters: two words a typo apart share one of these."""
+    return {word} | {word[:i] + word[i + 1 :] for i in range(len(word))}
+
+
+def _other(o: str, small: bool) -> list[str]:
+    """Keys that agreeing tokens share unless by a typo: three letters, the first letter if one may be an abbreviation or an initial, the full first name."""
+    keys = ["3" + o[:3]] if len(o) >= 3 else []
+    keys += ["w" + o[0]] * (small or len(o) <= 6) + ["u" + o[0]] * (not small or len(o) <= 6)
+    return keys + ["n" + FULL_NAME.get(o, o)] * (o in FULL_NAME or o in NICKNAMES)
+
+
+def exact_keys(form: str, ranked: list[str], small: bool) -> set[str]:
+    """Keys of a form as the one with fewer (``small``) or more tokens: ``relation`` accepts no two forms that share none.
+
+    Two or more tokens: the pair's anchor (five letters or more, equal or a typo
+    apart) together with another token. All tokens of the smaller form find a
+    partner, so it needs but one other token for each anchor and takes the
+    rarest; the other form has each of its tokens. One typo is allowed, so a
+    token with one has an equal anchor. One token: the other form without
+    blanks, or its first word with the first letter of what follows.
+    """
+    ts = form.split(" ")
+    if len(ts) == 1 and small:
+        keys = {"j" + k for k in _slips(form)} | {"j" + form[:i] for i in range(max(1, len(form) - 13), len(form)) if _legal(form[i:])}
+        for i in range(5, len(form) - 1 if len(form) >= 10 else 0):
+            rest = re.sub("^sons|and", "", form[i : i + 9])
+            keys |= {f"f{form[:i]}|{rest[0]}"} if rest else {f"f{form[:i]}|{c}" for c in set(form[i:])}
+        return keys
+    joined = "".join(ts)
+    keys = set() if small else {"j" + k for k in _slips(joined)}
+    for i, x in enumerate(ts):
+        if len(x) < 5 or len(ts) == 1:
+            continue
+        if not small:
+            keys.add(f"f{x}|{''.join(ts[i + 1 :] + ts[:i])[0]}")
+        rest = ts[:i] + ts[i + 1 :]
+        for o in [min(rest, key=ranked.index)] if small else set(rest):
+            keys |= {f"{v}|{k}" for v in _slips(x) for k in _other(o, small)}
+            keys |= {f"{x}|t{k}" for k in _slips(o)} if len(o) >= 4 else set()
+    return keys
+
+
+def _exact_rows(batches):
+    for pdf in batches:
+        for small in (True, False):
+            keys = [[xxhash.xxh64_intdigest(k) - (1 << 63) for k in exact_keys(f, list(r), small)] for f, r in zip(pdf["form"], pdf["ranked"])]
+            out = pd.DataFrame({"fid": pdf["fid"], "k": pdf["form"].str.count(" ") + 1, "small": small, "key": keys}).explode("key").dropna()
+            yield out.astype({"key": "int64", "k": "int32"})
+
+
+def exact_pairs(forms: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Pairs (a < b) of forms that share one of ``exact_keys``; ``tokens`` has (fid, t, rank), the rarest token first."""
+    ranked = tokens.groupBy("fid").agg(F.array_sort(F.collect_list(F.struct("rank", "t"))).alias("r")).select("fid", F.col("r.t").alias("ranked"))
+    keyed = forms.select("fid", "form").join(ranked, "fid").mapInPandas(_exact_rows, "fid string, k int, small boolean, key long")
+    keyed = written(keyed, "exact")
+    p, q = keyed.where("small").alias("p"), keyed.where("not small").alias("q")
+    met = p.join(q, "key").where("p.fid <> q.fid and q.k between p.k and p.k + if(p.k = 1, 1000000, 3)")
+    return met.select(F.least("p.fid", "q.fid").alias("a"), F.greatest("p.fid", "q.fid").alias("b")).distinct()
+
+
 def candidate_pairs(forms: DataFrame, common: int = 64) -> DataFrame:
     """Pairs (a < b) of forms (fid, form) that share a block.
 
@@ -36,7 +100,9 @@ def candidate_pairs(forms: DataFrame, common: int = 64) -> DataFrame:
     itself in front of the suffix) - three letters, or one where either token
     is short enough to be an abbreviation. Refined blocks are never cut off,
     but a pair must meet in the rarest token of one of its forms: what two
-    forms share without it is a trade or a first name, not a payee.
+    forms share without it is a trade or a first name, not a payee. What this
+    leaves out (slips in first letters, pairs that meet in other tokens only) is
+    found by ``exact_pairs``.
     A form of one long token may be a name written without blanks, whose words'
     suffixes lie inside it: it is also held against tokens that start alike.
     """
@@ -61,7 +127,7 @@ def candidate_pairs(forms: DataFrame, common: int = 64) -> DataFrame:
     pairs = blocks.alias("p").join(blocks.alias("q"), "key").where("p.fid < q.fid and (p.rank = 1 or q.rank = 1)").select(F.col("p.fid").alias("a"), F.col("q.fid").alias("b"))
     more = one.where("brief").alias("p").join(one.alias("q"), "key").where("p.fid <> q.fid and (p.of = 1 or q.of = 1)").select(F.least("p.fid", "q.fid").alias("a"), F.greatest("p.fid", "q.fid").alias("b"))
     glued = unspaced.alias("p").join(starts.alias("q"), "key").select(F.least("p.fid", "q.fid").alias("a"), F.greatest("p.fid", "q.fid").alias("b"))
-    return pairs.unionByName(more).unionByName(glued).distinct()
+    return pairs.unionByName(more).unionByName(glued).unionByName(exact_pairs(forms, tokens)).distinct()
 
 
 def link_forms(forms: DataFrame, common: int = 64) -> DataFrame:
