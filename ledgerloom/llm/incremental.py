@@ -5,7 +5,9 @@ and between words; the cuts depend on nearby letters only, so a typo, a cut-off
 end or another order of words leaves most chunks as they are. The chunk table
 (slot, chunk, bytes, payment) is kept in files: a new batch is joined with it,
 shared bytes are summed per pair, pairs with enough coverage are confirmed by
-the names themselves, and the chunks of the accepted batch are appended.
+the names themselves, and the chunks of the accepted batch are appended. A slip
+can leave a short name no chunk in common with its like, so the pairs of a slot
+that share too few chunks are held against each other by name as well.
 """
 
 from __future__ import annotations
@@ -62,7 +64,7 @@ def same_record_classes(df: DataFrame, *keep: str) -> DataFrame:
     rows = records.prepared(df, *keep)
     pays = written(records.payments(rows), "payments")
     table = written(chunk_table(pays), "chunks")
-    pairs = covered_pairs(table, table)
+    pairs = covered_pairs(table, table).unionByName(records.slot_pairs(pays, pays)).distinct()
     return records.classes(rows, records.confirmed(pairs, pays))
 
 
@@ -109,7 +111,8 @@ class History:
         old = self._read("pays", self.PAYS)
         fresh = written(chunk_table(self._slotted(new)), "fresh")
         stored = self._read("chunks", "slot long, pay string, day int, chunk string, total int")
-        pairs = covered_pairs(stored, fresh).unionByName(covered_pairs(fresh, fresh)).distinct()
+        pairs = covered_pairs(stored, fresh).unionByName(covered_pairs(fresh, fresh))
+        pairs = pairs.unionByName(records.slot_pairs(stored.unionByName(fresh), fresh)).distinct()
         return records.confirmed(pairs, new.unionByName(old.select(new.columns))), fresh
 
     def _classed(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1,6 +1,6 @@
 """Pairs of names that are alike although their fingerprints or chunks aren't, with no third row to link them."""
 
-from ledgerloom.llm import overlap
+from ledgerloom.llm import incremental, overlap
 from ledgerloom.llm.names import relation
 
 SCHEMA = "id string, source string, source_record_id string, ingest_batch int, transaction_date string, merchant_raw string, amount double, direction string"
@@ -21,3 +21,15 @@ def test_overlap_of_names_with_far_fingerprints(spark):
     for a, b in FAR:
         assert bin((overlap.fingerprint(a) ^ overlap.fingerprint(b)) & (2**64 - 1)).count("1") > overlap.RADIUS and relation(a, b, edits=2)
     assert split_pairs(spark, [*FAR, ("stapevegro bakery", "zathadotra fuel depot")]) == {(f"{i}a", f"{i}b") for i in range(len(FAR))}
+
+
+def test_repeats_of_names_without_common_chunks(spark, tmp_path):
+    a, b = "garjeramis electric servvices", "grajeramis el"
+    assert not set(incremental.chunks_of(a)) & set(incremental.chunks_of(b)) and relation(a, b, edits=2)
+    df = gold(spark, [("01", 1, "2024-01-05", a, 5.0), ("02", 2, "2024-01-06", b, 5.0), ("03", 2, "2024-01-06", "zathadotra fuel", 5.0)])
+    assert {tuple(r) for r in incremental.repeats(incremental.same_record_classes(df, "ingest_batch"), "ingest_batch").collect()} == {("01", "02")}
+    history, found = incremental.History(spark, str(tmp_path)), set()
+    for batch in (df.where("ingest_batch = 1"), df.where("ingest_batch = 2")):
+        found |= {tuple(r) for r in history.check(batch).collect()}
+        history.accept(batch)
+    assert found == {("01", "02")}
