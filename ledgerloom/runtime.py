@@ -1,4 +1,4 @@
-"""Session helpers: reading tables, cutting lineage, small-table checks."""
+"""Session helpers: reading tables, cutting lineage, intermediate tables and their removal."""
 
 from __future__ import annotations
 
@@ -31,12 +31,50 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """Write a frame as Parquet at a path and read it back; the lineage is cut."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a frame once as Parquet in the shared folder and read it back.
 
     Columnar and compressed, so wide intermediate tables that are read several
     times cost less disk than a row checkpoint; the lineage is cut as well.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return stored(df, new_path(df.sparkSession, name))
+
+
+def remove(path: str) -> None:
+    """Delete a folder of intermediate data, on whatever file system it lies."""
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    if system.get_file_info(inner).type == fs.FileType.Directory:
+        system.delete_dir(inner)
+
+
+class Scratch:
+    """Intermediate tables of one operator in one folder, deleted when the ``with`` block ends.
+
+    Results that leave the block are written with ``written`` instead, as lazy
+    frames read their tables only later.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.made = spark, new_path(spark, name), 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        remove(self.folder)
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self.made += 1
+        return stored(df, f"{self.folder}/{name}-{self.made}")
