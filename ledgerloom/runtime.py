@@ -50,6 +50,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return stored(df, new_path(df.sparkSession, name))
 
 
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """The frame in as many partitions as the session's shuffles have, whatever its bytes: for Python stages, whose work isn't in the bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+
+
 def remove(path: str) -> None:
     """Delete a folder of intermediate data, on whatever file system it lies."""
     from pyarrow import fs
