@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.records import cents, direction
+from ledgerloom.runtime import written
 
 RAW = ("source", "transaction_date", "merchant_raw", "amount", "direction")
 
@@ -47,8 +48,11 @@ def collapse(df: DataFrame) -> DataFrame:
 
 
 def copy_pairs(df: DataFrame) -> DataFrame:
-    """(id_a, id_b) for every copy beyond the first: id_a is the least id of its record."""
-    survivors = canonical_groups(raw_groups(df)).where("key is not null")
+    """(id_a, id_b) for every copy beyond the first: id_a is the least id of its record.
+
+    Survivors are canonicalised once and written; only rows of raw groups that belong to a record of several rows are joined back.
+    """
+    survivors = written(canonical_groups(raw_groups(df)).where("key is not null"), "survivors")
     least = survivors.groupBy("key").agg(F.min("first_id").alias("id_a"), F.sum("n").alias("n")).where("n > 1").select("key", "id_a")
     of_raw = survivors.join(least, "key").select("id_a", *[F.col(c).alias(f"_{c}") for c in RAW])
     same = None

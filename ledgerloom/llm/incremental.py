@@ -3,7 +3,7 @@
 A payment's name form is cut where a rolling hash of the last letters says so,
 and between words; the cuts depend on nearby letters only, so a typo, a cut-off
 end or another order of words leaves most chunks as they are. The chunk table
-(slot, chunk, bytes, payment) is kept in files: a new batch is joined with it,
+(chunk hash, payment, bytes) is kept in files: a new batch is joined with it,
 shared bytes are summed per pair, pairs with enough coverage are confirmed by
 the names themselves, and the chunks of the accepted batch are appended. A slip
 can leave a short name no chunk in common with its like, so the pairs of a slot
@@ -12,11 +12,16 @@ that share too few chunks are held against each other by name as well.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import records
-from ledgerloom.runtime import written
+from ledgerloom.llm.graph import components
+from ledgerloom.runtime import Scratch, spread, stored, written
 
 WINDOW, DIVISOR, MIN_COVERAGE = 2, 2, 0.2
 
@@ -40,100 +45,170 @@ def chunks_of(form: str) -> list[str]:
 
 def _chunk_rows(batches):
     for pdf in batches:
-        cut = pdf["form"].map(lambda f: sorted(set(chunks_of(f))))
-        pdf = pdf.assign(chunk=cut, total=cut.map(lambda c: sum(map(len, c)))).explode("chunk")
-        yield pdf[["slot", "pay", "day", "chunk", "total"]]
-
-
-def chunk_table(pays: DataFrame) -> DataFrame:
-    """(slot, pay, day, chunk, total) of payments (pay, form, day, slot)."""
-    return pays.select("slot", "pay", "form", "day").mapInPandas(_chunk_rows, "slot long, pay string, day int, chunk string, total int")
-
-
-def covered_pairs(old: DataFrame, new: DataFrame, least: float = MIN_COVERAGE) -> DataFrame:
-    """Pairs (a < b) of different payments at most a day apart whose shared chunks cover ``least`` of the shorter name."""
-    o = old.select("slot", "chunk", F.col("pay").alias("a"), F.col("day").alias("da"), F.col("total").alias("ta"))
-    n = new.select("slot", "chunk", F.col("pay").alias("b"), F.col("day").alias("db"), F.col("total").alias("tb"))
-    met = o.join(n, ["slot", "chunk"]).where("a <> b and abs(da - db) <= 1")
-    shared = met.groupBy("slot", "a", "b").agg((F.sum(F.length("chunk")) / F.least(F.first("ta"), F.first("tb"))).alias("coverage"))
-    return shared.where(F.col("coverage") >= least).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        cut = [sorted(set(chunks_of(f))) for f in pdf["form"]]
+        size = np.array([len(c) for c in cut], np.int64)
+        at = np.repeat(np.arange(len(pdf)), size)
+        flat = [c for x in cut for c in x]
+        yield pd.DataFrame({
+            "pay": pdf["pay"].to_numpy()[at], "slot": pdf["slot"].to_numpy()[at], "word": np.array([xxhash.xxh64_intdigest(c) for c in flat], np.uint64).view(np.int64),
+            "bytes": np.array([len(c) for c in flat], np.int32), "total": np.array([sum(map(len, c)) for c in cut], np.int32)[at],
+        })
+
+
+def chunk_table(pays: DataFrame, *slot: str) -> DataFrame:
+    """(chunk, pay, bytes, total): one row per payment and chunk.
+
+    ``chunk`` is the hash of the chunk's text together with the payment's slot,
+    of which the columns ``slot`` are the parts; ``total`` are the bytes of all
+    chunks of the payment's name.
+    """
+    rows = pays.select("pay", "form", F.xxhash64(*slot).alias("slot"))
+    rows = spread(rows).mapInPandas(_chunk_rows, "pay long, slot long, word long, bytes int, total int")
+    return rows.select(F.xxhash64("slot", "word").alias("chunk"), "pay", "bytes", "total")
 
 
-def same_record_classes(df: DataFrame, *keep: str) -> DataFrame:
-    """All rows (id, keep, keys) with the class of their record, through one chunk table of everything."""
-    rows = records.prepared(df, *keep)
-    pays = written(records.payments(rows), "payments")
-    table = written(chunk_table(pays), "chunks")
-    pairs = covered_pairs(table, table).unionByName(records.slot_pairs(pays, pays)).distinct()
-    return records.classes(rows, records.confirmed(pairs, pays))
+def covered_pairs(table: DataFrame, asked: DataFrame, least: float = MIN_COVERAGE, bound: int = records.BOUND) -> DataFrame:
+    """Pairs (a < b) of payments whose shared chunks cover ``least`` of the shorter name.
 
+    A chunk that more than ``bound`` payments of a slot have tells nothing, and
+    would meet itself in their square: it is left out. Its payments stand in a
+    slot beyond the bound, where ``records.slot_pairs`` compares names by exact keys.
+    """
+    common = table.groupBy("chunk").agg(F.count("*").alias("n")).where(F.col("n") > bound).select("chunk")
+    met = asked.join(common, "chunk", "left_anti").alias("q").join(table.alias("t"), "chunk").where("q.pay <> t.pay")
+    met = met.select(F.least("q.pay", "t.pay").alias("a"), F.greatest("q.pay", "t.pay").alias("b"), "chunk", "q.bytes", F.least("q.total", "t.total").alias("total"))
+    shared = met.groupBy("a", "b").agg(F.sum("bytes").alias("bytes"), F.min("total").alias("total"), F.count_distinct("chunk").alias("k"), F.count("*").alias("met"))
+    return shared.where(F.col("bytes") * F.col("k") / F.col("met") >= least * F.col("total")).select("a", "b")
 
-def repeats(classed: DataFrame, batch: str) -> DataFrame:
-    """(id_a, id_b): rows whose record an earlier batch already has, with the least id of that record.
 
-    Rows with a null batch neither count as earlier nor are reported.
-    """
-    firsts = classed.where("cls is not null").groupBy("cls").agg(F.min("id").alias("id_a"), F.min(batch).alias("first_batch"))
-    return classed.join(firsts, "cls").where(F.col(batch) > F.col("first_batch")).select("id_a", F.col("id").alias("id_b"))
+def candidate_pairs(new: DataFrame, every: DataFrame, chunks: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs of payments to be confirmed: one of ``new``, the other of ``every`` (with its chunk table)."""
+    asked = scratch.written(records.probes(new, every), "asked")
+    wanted = chunk_table(asked, "dir", "cents", "at")
+    return covered_pairs(chunks, wanted).unionByName(records.slot_pairs(asked, every)).distinct()
 
 
 class History:
-    """Accepted records in a shared folder: chunks, keys and first ids, appended batch by batch.
-
-    ``check`` compares one batch with everything accepted, reading the chunk
-    table's columns once and nothing of the original rows, and returns
-    (id_a, id_b) for the batch's rows that are a record already accepted,
-    directly or through other rows of either side. ``accept`` appends the
-    batch. An empty folder is an empty history; null keys never match.
+    """Accepted records in a folder that all executors share; batches are appended, never rewritten.
+
+    Every call of ``accept`` adds one increment to the tables *pays* (distinct
+    payments), *chunks* (chunk to payment), *refs* (reference to node), *rows*
+    (id, batch, node) and *labels* (node to the root of its record, the last
+    increment counts), and then one row to *commits*. Only increments that stand
+    there are read: what a failed call left behind is overwritten by the next
+    one. Batches that were accepted before are ignored, so a call can be
+    repeated.
+
+    A batch is joined with the chunk table and the references; only classes of
+    records that it hits are contracted, and only their labels written again.
+    So a row that ties two records of earlier batches together ties them for
+    ``repeats`` too, as if all rows had been seen at once.
     """
 
+    TABLES = {
+        "pays": "node binary, pay long, dir string, cents long, day int, form string", "chunks": "chunk long, pay long, bytes int, total int",
+        "refs": "ref binary, node binary", "rows": "id string, batch int, node binary", "labels": "node binary, root binary, n int",
+    }
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
-    KEYS = "id string, ref string, pay string, cls string"
-    PAYS = "pay string, dir string, cents long, day int, form string"
-
-    def _read(self, name: str, schema: str) -> DataFrame:
-        path = f"{self.folder}/{name}"
-        jvm = self.spark.sparkContext._jvm
-        there = jvm.org.apache.hadoop.fs.Path(path)
-        if there.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
-            return self.spark.read.schema(schema).parquet(path)
-        return self.spark.createDataFrame([], schema)
-
-    @staticmethod
-    def _slotted(pays: DataFrame) -> DataFrame:
-        halves = F.array(F.floor(F.col("day") / 2), F.floor((F.col("day") + 1) / 2) + F.lit(0.5))
-        return pays.withColumn("half", F.explode(halves)).withColumn("slot", F.xxhash64("dir", "cents", "half")).select("pay", "form", "day", "slot")
-
-    def _links(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        new = written(rows.where("pay is not null").groupBy("pay").agg(*[F.first(c).alias(c) for c in ("dir", "cents", "day", "form")]), "new")
-        old = self._read("pays", self.PAYS)
-        fresh = written(chunk_table(self._slotted(new)), "fresh")
-        stored = self._read("chunks", "slot long, pay string, day int, chunk string, total int")
-        pairs = covered_pairs(stored, fresh).unionByName(covered_pairs(fresh, fresh))
-        pairs = pairs.unionByName(records.slot_pairs(stored.unionByName(fresh), fresh)).distinct()
-        return records.confirmed(pairs, new.unionByName(old.select(new.columns))), fresh
-
-    def _classed(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-        rows = records.prepared(batch)
-        links, fresh = self._links(rows)
-        old = self._read("keys", self.KEYS)
-        own = rows.select("id", "ref", "pay").withColumn("old", F.lit(False)).unionByName(old.select("id", "ref", "pay").withColumn("old", F.lit(True)))
-        tied = old.where("pay is not null or ref is not null").select(F.coalesce("pay", "ref").alias("a"), F.col("cls").alias("b"))
-        return written(records.classes(own, links.unionByName(tied)), "classed"), fresh
+    def commits(self) -> tuple[list[int], list[int]]:
+        """(increments, batches) accepted so far: one small row per call of ``accept``."""
+        try:
+            rows = self.spark.read.schema("n int, batches array<int>").parquet(f"{self.folder}/commits/*").collect()
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            rows = []
+        return sorted(r.n for r in rows), sorted({b for r in rows for b in r.batches})
+
+    def _read(self, name: str) -> DataFrame:
+        paths = [f"{self.folder}/{name}/n{n}" for n in self.commits()[0]]
+        return self.spark.read.schema(self.TABLES[name]).parquet(*paths) if paths else self.spark.createDataFrame([], self.TABLES[name])
+
+    def current(self, nodes: DataFrame | None = None) -> DataFrame:
+        """(node, root) by the last increment that labelled the node; of the ``nodes`` given, or all."""
+        labels = self._read("labels")
+        labels = labels if nodes is None else labels.join(nodes, "node", "left_semi")
+        return labels.groupBy("node").agg(F.max_by("root", "n").alias("root"))
+
+    def _resolve(self, batch: DataFrame, scratch: Scratch, n: int, put) -> dict[str, DataFrame]:
+        rows = scratch.written(records.keyed(batch, F.col("ingest_batch").alias("batch")), "rows")
+        pays, old = scratch.written(records.payments(rows), "seen"), self._read("pays")
+        days = pays.agg(F.min("day") - 1, F.max("day") + 1).first()
+        near = old.where(F.col("day").between(*days)) if days[0] is not None else old.limit(0)
+        new = put(pays.join(near.select("node"), "node", "left_anti"), "pays")
+        chunks = put(chunk_table(new, "dir", "cents", "day"), "chunks")
+        every = near.unionByName(new)
+        pairs = candidate_pairs(new, every, self._read("chunks").unionByName(chunks), scratch)
+        links = records.confirmed(pairs, every)
+        held = rows.where("ref is not null").select("ref", "node").distinct()
+        known = self._read("refs").join(held.select("ref").distinct(), "ref", "left_semi")
+        links = scratch.written(links.unionByName(records.reference_links(held.unionByName(known))), "found")
+        ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        was = scratch.written(self.current(ends), "was")
+        links = links.unionByName(was.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        roots = scratch.written(components(links), "roots")
+        moved = roots.withColumnRenamed("root", "to").join(was.select(F.col("root").alias("node")).distinct(), "node", "left_semi")
+        members = self._read("labels").select("node", F.col("root").alias("of")).join(moved.select(F.col("node").alias("of")), "of", "left_semi").select("node").distinct()
+        inside = self.current(members).join(moved.select(F.col("node").alias("root"), "to"), "root").select("node", F.col("to").alias("root"))
+        labels = put(roots.unionByName(inside).distinct().withColumn("n", F.lit(n)), "labels")
+        firsts = held.groupBy("ref").agg(F.min("node").alias("node")).join(known.select("ref").distinct(), "ref", "left_anti")
+        return {"refs": firsts, "rows": rows.select("id", "batch", "node"), "labels": labels.drop("n")}
+
+    def _fresh(self, batch: DataFrame) -> DataFrame:
+        done = self.commits()[1]
+        return batch.where(F.col("ingest_batch").isNull() | ~F.col("ingest_batch").isin(done)) if done else batch
 
     def check(self, batch: DataFrame) -> DataFrame:
-        classed, _ = self._classed(batch)
-        first = classed.where("old and cls is not null").groupBy("cls").agg(F.min("id").alias("id_a"))
-        return classed.where("not old").join(first, "cls").select("id_a", F.col("id").alias("id_b"))
+        """(id_a, id_b) for the batch's rows whose record was accepted before, directly or through other rows of either side.
+
+        Nothing is appended. id_a is the least id of that record, the batch's own rows included.
+        """
+        with Scratch(self.spark, "check") as scratch:
+            new = self._resolve(self._fresh(batch), scratch, 0, scratch.written)
+            label = new["labels"]
+            of = lambda rows: rows.join(label, "node", "left").withColumn("cls", F.coalesce("root", "node"))
+            mine = of(new["rows"]).where("cls is not null")
+            hit = mine.select("cls").distinct()
+            old = of(self._read("rows")).join(hit, "cls", "left_semi").groupBy("cls").agg(F.min("id").alias("old_id"))
+            least = mine.groupBy("cls").agg(F.min("id").alias("own_id")).join(old, "cls").select("cls", F.least("own_id", "old_id").alias("id_a"))
+            return written(mine.join(least, "cls").select("id_a", F.col("id").alias("id_b")), "checked")
 
     def accept(self, batch: DataFrame) -> None:
-        classed, fresh = self._classed(batch)
-        rows = records.prepared(batch)
-        known = self._read("pays", self.PAYS).select("pay")
-        new = written(rows.where("pay is not null").groupBy("pay").agg(*[F.first(c).alias(c) for c in ("dir", "cents", "day", "form")]).join(known, "pay", "left_anti"), "accepted")
-        added = written(fresh.join(new.select("pay"), "pay", "left_semi"), "added")
-        new.write.mode("append").parquet(f"{self.folder}/pays")
-        added.select("slot", "pay", "day", "chunk", "total").write.mode("append").parquet(f"{self.folder}/chunks")
-        classed.where("not old").select("id", "ref", "pay", "cls").write.mode("append").parquet(f"{self.folder}/keys")
+        """Append the rows of a batch, or of several at once; nothing happens without rows that are new."""
+        batch = self._fresh(batch)
+        if batch.isEmpty():
+            return
+        batches = [r[0] for r in batch.select("ingest_batch").where("ingest_batch is not null").distinct().collect()]
+        n = max(self.commits()[0], default=-1) + 1
+        put = lambda df, name: stored(df, f"{self.folder}/{name}/n{n}")
+        with Scratch(self.spark, "accept") as scratch:
+            new = self._resolve(batch, scratch, n, put)
+            put(new["refs"], "refs")
+            put(new["rows"], "rows")
+        stored(self.spark.createDataFrame([(n, batches)], "n int, batches array<int>").coalesce(1), f"{self.folder}/commits/n{n}")
+
+    def repeats(self) -> DataFrame:
+        """(id_a, id_b) for every accepted row whose record an earlier batch has; id_a is the least id of the record.
+
+        Rows with a null batch neither count as earlier nor are reported.
+        """
+        classed = self._read("rows").where("node is not null").join(self.current(), "node", "left").withColumn("cls", F.coalesce("root", "node"))
+        firsts = classed.groupBy("cls").agg(F.min("id").alias("id_a"), F.min("batch").alias("first_batch"), F.max("batch").alias("last_batch"))
+        firsts = firsts.where("last_batch > first_batch").drop("last_batch")
+        return classed.join(firsts, "cls").where("batch > first_batch").select("id_a", F.col("id").alias("id_b"))
+
+
+def replay(df: DataFrame, folder: str, at_once: int = 40) -> History:
+    """A history of all batches of a table, accepted in their order, ``at_once`` batch numbers a call; rows without a batch come first.
+
+    The rows found don't depend on ``at_once``.
+    """
+    history = History(df.sparkSession, folder)
+    ranks = df.select("ingest_batch").distinct().withColumn("call", F.floor((F.dense_rank().over(Window.orderBy("ingest_batch")) - 1) / at_once))
+    for r in ranks.groupBy("call").agg(F.min("ingest_batch").alias("low"), F.max("ingest_batch").alias("high")).orderBy("call").collect():
+        inside = F.col("ingest_batch").between(r.low, r.high) if r.low is not None else F.lit(False)
+        history.accept(df.where(inside | F.col("ingest_batch").isNull()) if r.call == 0 else df.where(inside))
+    return history

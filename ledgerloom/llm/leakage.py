@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from ledgerloom.runtime import written
 
 K, WINDOW, SHARE, GAP, REACH = 3, 2, 0.5, 0.1, 2
-PREFILTER_LIMIT = 2_000_000
+FILTER_BITS = 1 << 24
 
-_TAG = re.compile(r"<[^<>]{0,300}>")
+_TAG = re.compile(r"<[^<>]*>")
 _JOINED = re.compile(r"(?<=[^\W\d_])-\s*\n\s*(?=[^\W\d_])")
 _WORD = re.compile(r"[^\W_]+")
 
@@ -89,14 +89,17 @@ def winnow(words: list[str], k: int = K, window: int = WINDOW) -> tuple[np.ndarr
     return winnow_all([words], k, window)[1:]
 
 
-def _printer(key: str, wanted: np.ndarray | None):
+def _printer(key: str, known: np.ndarray | None):
     def run(batches):
         hashes = _Hashes()
         for pdf in batches:
             texts = [words_of(t) for t in pdf["text"]]
             number, prints, at = winnow_all(texts, hashes=hashes)
-            if wanted is not None:
-                hit = np.isin(prints, wanted)
+            if known is not None:
+                hit = np.ones(len(prints), bool)
+                for shift in (0, 24):
+                    bit = (prints.view(np.uint64) >> np.uint64(shift)) & np.uint64(FILTER_BITS - 1)
+                    hit &= (known[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
                 number, prints, at = number[hit], prints[hit], at[hit]
             those, start = np.unique(number, return_index=True)
             end = np.append(start[1:], len(number))
@@ -107,10 +110,24 @@ def _printer(key: str, wanted: np.ndarray | None):
     return run
 
 
-def fingerprints(df: DataFrame, key: str, wanted: np.ndarray | None = None) -> DataFrame:
-    """(key, words, prints, at) of each text with a fingerprint (of ``wanted`` ones, if given)."""
+def print_filter(prints: DataFrame) -> np.ndarray:
+    """Bloom filter of fingerprints (print): FILTER_BITS bits in 64-bit words, two bits a fingerprint.
+
+    Its size is the same whatever the number of fingerprints. It never loses
+    one; the fuller it is, the more others pass, which the join then drops.
+    """
+    bits = F.array(*[F.shiftrightunsigned("print", s).bitwiseAND(F.lit(FILTER_BITS - 1).cast("long")) for s in (0, 24)])
+    words = prints.select(F.explode(bits).alias("bit")).select(F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("set"))
+    rows = words.groupBy("word").agg(F.bit_or("set").alias("set")).toPandas()
+    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    out[rows["word"].to_numpy(np.int64)] = rows["set"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def fingerprints(df: DataFrame, key: str, known: np.ndarray | None = None) -> DataFrame:
+    """(key, words, prints, at) of each text with a fingerprint (that passes the filter ``known``, if given)."""
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, "text").mapInPandas(_printer(key, wanted), f"{key} {kind}, words string, prints array<long>, at array<long>")
+    return df.select(key, "text").mapInPandas(_printer(key, known), f"{key} {kind}, words string, prints array<long>, at array<long>")
 
 
 def matched_words(doc: list[str], item: list[str], hits: list[int], least: int = 1) -> int:
@@ -174,19 +191,20 @@ def leaks(documents: DataFrame, doc_key: str, items: DataFrame, item_key: str, s
     """(doc_key, item_key, matched, n_words) where a passage of the document holds ``share`` of the item's words.
 
     Null and empty texts hold nothing and leak nowhere; items of fewer than K
-    words can't be found. If the items' fingerprints are few (a counted bound),
-    documents drop all others before the join, which is the same join then.
-    Documents without any hit end in the first pass.
+    words can't be found. Documents drop fingerprints that a filter of fixed size
+    over the items' fingerprints excludes; documents without any other end in
+    the first pass. A fingerprint that many documents share is cut into cells
+    by document, and meets each item once.
     """
     of_items = written(fingerprints(items, item_key), "item-prints")
     bag = of_items.select(F.col(item_key).alias("item_key"), F.col("words").alias("item_words"), F.explode("prints").alias("print"))
-    wanted = bag.select("print").distinct()
-    few = wanted.limit(PREFILTER_LIMIT + 1).count() <= PREFILTER_LIMIT
-    known = np.sort(np.array([r[0] for r in wanted.collect()], np.int64)) if few else None
-    of_docs = fingerprints(documents, doc_key, known)
+    of_docs = fingerprints(documents, doc_key, print_filter(bag))
     of_docs = written(of_docs.select(F.col(doc_key).alias("doc_key"), "words", "prints", "at"), "doc-prints")
     spread = of_docs.select("doc_key", F.explode(F.arrays_zip("prints", "at")).alias("p")).select("doc_key", F.col("p.prints").alias("print"), F.col("p.at").alias("at"))
-    hits = spread.join(bag.select("item_key", "print").distinct(), "print").groupBy("doc_key", "item_key").agg(F.collect_set("at").alias("hits"))
+    cells = 16
+    owned = bag.select("item_key", "print").distinct().withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
+    met = spread.withColumn("cell", F.pmod(F.xxhash64("doc_key"), F.lit(cells)).cast("int")).join(owned, ["print", "cell"])
+    hits = met.groupBy("doc_key", "item_key").agg(F.collect_set("at").alias("hits"))
     pairs = hits.join(of_docs.select("doc_key", "words"), "doc_key").join(bag.select("item_key", "item_words").distinct(), "item_key")
     kinds = f"doc_key {documents.schema[doc_key].dataType.simpleString()}, item_key {items.schema[item_key].dataType.simpleString()}"
     found = pairs.select("doc_key", "item_key", "words", "item_words", "hits").mapInPandas(_aligner(share), f"{kinds}, matched int, n_words int")

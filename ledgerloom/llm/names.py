@@ -30,6 +30,7 @@ NICKNAMES = {
 }
 FULL_NAME = {short: full for full, shorts in NICKNAMES.items() for short in shorts.split()}
 
+LONGEST = 256
 CUT_NOISE = frozenset("an so".split())
 _LONG_LEGAL = tuple(sorted(w for w in LEGAL if len(w) >= 7))
 _LABEL = re.compile(r"^\s*[a-z]{2,7}\s*\*+\s*(?=\S)")
@@ -55,6 +56,11 @@ def lcs(a: str, b: str) -> int:
     return len(a) - v.bit_count()
 
 
+def _legal_end(text: str) -> bool:
+    """Whether a name written without blanks may end in this: a legal form, whole, mistyped or cut off."""
+    return _legal(text) or (len(text) >= 2 and any(w.startswith(text) for w in LEGAL))
+
+
 def _legal(word: str) -> bool:
     if word in LEGAL:
         return True
@@ -93,31 +99,42 @@ def sorted_key(form: str) -> str:
     return " ".join(sorted(form.split(" ")))
 
 
+def slip(x: str, y: str, edits: int = 1) -> bool:
+    """Whether two different tokens are a typo apart: all letters but one are common and in order.
+
+    With ``edits`` 2, all but two of tokens of six letters or more. Tokens of fewer
+    than four or more than ``LONGEST`` letters are never a typo apart.
+    """
+    if len(x) > len(y):
+        x, y = y, x
+    allowed = edits if len(x) >= 6 else 1
+    return 4 <= len(x) and len(y) <= LONGEST and x != y and len(y) - len(x) <= allowed and lcs(x, y) >= len(y) - allowed
+
+
 def _token(x: str, y: str, edits: int = 1) -> str | None:
     """How two tokens agree: equal, typo, short (abbreviated, cut off or a nickname), initial, or not at all.
 
-    A typo leaves all letters but one in order; with ``edits`` 2, all but two
-    of a token of six letters or more.
+    With ``edits`` 2, a short form may lack a letter of the other, and two short
+    forms of up to four letters agree if they begin alike.
     """
     if x == y:
         return "equal"
-    if FULL_NAME.get(x, x) == FULL_NAME.get(y, y):
+    fx, fy = FULL_NAME.get(x, x), FULL_NAME.get(y, y)
+    if fx == fy:
         return "short"
     if len(x) > len(y):
         x, y = y, x
-    common = None
-    allowed = edits if len(x) >= 6 else 1
-    if len(x) >= 4 and len(y) - len(x) <= allowed:
-        common = lcs(x, y)
-        if common >= len(y) - allowed:
-            return "typo"
+    if slip(x, y, edits):
+        return "typo"
+    if {fx, fy} != {x, y} and slip(fx, fy):
+        return "short"
     if x[0] != y[0]:
         return None
     if len(x) == 1:
         return "initial"
-    if y.startswith(x):
+    if y.startswith(x) or (len(x) <= 6 and lcs(x, y) == len(x)):
         return "short"
-    if len(x) <= 6 and (common if common is not None else lcs(x, y)) == len(x):
+    if edits > 1 and (len(y) <= 4 or (len(x) >= 3 and (len(x) <= 6 or x[:3] == y[:3]) and lcs(x, y) >= len(x) - 1)):
         return "short"
     return None
 
@@ -130,8 +147,8 @@ def relation(a: str, b: str, edits: int = 1, anchor: int = 5, ratio: float = 0.5
 
     Strong: the tokens pair off in any order, at most ``edits`` pairs by a typo, at
     least one pair of ``anchor`` letters or more equal or nearly so, the others
-    equal or abbreviated, and the common subsequences of the pairs are at least
-    ``ratio`` of all letters; or one form is the other written without blanks.
+    equal or abbreviated, and twice the common subsequences of the pairs (a short
+    form counts with its own letters) are at least ``ratio`` of all letters; or one form is the other written without blanks.
     Weak: the same, but one form has up to three tokens more, or an initial
     stands for a whole name; such a link counts only if it is unambiguous.
     """
@@ -139,7 +156,7 @@ def relation(a: str, b: str, edits: int = 1, anchor: int = 5, ratio: float = 0.5
     if len(ta) > len(tb):
         ta, tb, a, b = tb, ta, b, a
     if len(ta) == 1:
-        return _unspaced(a, tb, anchor)
+        return _unspaced(a, tb, anchor, edits)
     if len(tb) - len(ta) > 3:
         return None
     left, typos, firm, shared, weak = list(tb), 0, 0, 0, len(tb) > len(ta)
@@ -155,7 +172,7 @@ def relation(a: str, b: str, edits: int = 1, anchor: int = 5, ratio: float = 0.5
         if typos > edits:
             return None
         weak |= kind == "initial"
-        shared += min(len(x), len(y))
+        shared += min(len(x), len(y)) if kind in ("equal", "short", "initial") else lcs(x, y)
         if kind in ("equal", "typo"):
             firm += min(len(x), len(y))
             anchored |= min(len(x), len(y)) >= anchor
@@ -166,19 +183,23 @@ def relation(a: str, b: str, edits: int = 1, anchor: int = 5, ratio: float = 0.5
     return (STRONG, firm) if 2 * shared >= ratio * (sum(map(len, ta)) + sum(map(len, tb))) else None
 
 
-def _unspaced(a: str, tb: list[str], anchor: int) -> tuple[str, int] | None:
-    """Relation of a form of one token to another form, read as if that were written without blanks."""
+def _unspaced(a: str, tb: list[str], anchor: int, edits: int = 1) -> tuple[str, int] | None:
+    """Relation of a form of one token to another form: to one of its tokens, or to it written without blanks."""
     joined = "".join(tb)
-    near = abs(len(a) - len(joined)) <= 1 and lcs(a, joined) >= max(len(a), len(joined)) - 1
+    near = a == joined or slip(a, joined)
     if len(tb) == 1:
-        return (STRONG, len(a)) if near and len(a) >= 6 else None
+        return (STRONG, len(a)) if len(a) >= 6 and (near or slip(a, joined, edits)) else None
+    if len(a) >= 6 and len(tb) <= 4 and any(a == t or slip(a, t) for t in tb):
+        return WEAK, len(a)
     if len(a) < 10:
         return None
-    if near or (a.startswith(joined) and _legal(a[len(joined) :])):
+    if near or (a.startswith(joined) and _legal_end(a[len(joined) :])):
         return STRONG, len(joined)
     for i, first in enumerate(tb):
-        if len(first) >= anchor and a.startswith(first):
+        if anchor <= len(first) <= LONGEST and a.startswith(first):
             rest, more = re.sub("^sons|and", "", a[len(first) :]), "".join(tb[i + 1 :] + tb[:i])
-            if len(rest) >= 2 and rest[0] == more[0] and lcs(rest, more) == len(rest):
+            if len(rest) >= 2 and rest[0] == more[0] and (lcs(rest, more) == len(rest) or (len(more) >= 5 and rest.startswith(more))):
+                return WEAK, len(first)
+            if edits > 1 and min(len(rest), len(more)) >= 4 and rest[0] == more[0] and lcs(rest, more) >= min(len(rest), len(more)) - 1:
                 return WEAK, len(first)
     return None

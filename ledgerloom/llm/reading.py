@@ -24,6 +24,7 @@ LEVELS = (1, 2, 3, 4)
 BUCKETS = 1024
 #: Most graded documents that the ranker is fitted on (those with the least hash of their key).
 MAX_GRADED = 12_000
+#: Pairs drawn from them in each round of fitting, and the rest of the fit's settings.
 PAIRS, ROUNDS, RATE, RIDGE, FOLDS = 24_000, 6, 0.5, 1e-4, 3
 
 # Words that open subordinate or relative clauses.
@@ -33,7 +34,7 @@ SUBORDINATORS = frozenset(
 _SENTENCE = re.compile(r"[.!?;]+(?=\s|$)")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _VOWELS = re.compile(r"[aeiouy]+")
-_TAG = re.compile(r"<[^<>]{0,300}>")
+_TAG = re.compile(r"<[^<>]*>")
 SYNTAX = 9
 
 
@@ -163,10 +164,14 @@ def _features_of(batches):
 
 
 def train(documents: DataFrame, labels: DataFrame, key: str, level: str = "reading_level", most: int = MAX_GRADED) -> Ranker:
-    """Fit the ranker on at most ``most`` graded documents; null texts and null grades are left out."""
+    """Fit the ranker on at most ``most`` graded documents; null texts and null grades are left out.
+
+    It sees PAIRS random pairs of them in each of ROUNDS rounds, a bound like ``most``.
+    """
     graded = labels.where(F.col(level).isNotNull()).groupBy(key).agg(F.avg(level).alias("grade"), F.count("*").alias("raters"))
-    graded = graded.orderBy(F.xxhash64(key), key).limit(most)
-    rows = documents.select(key, "text").where("text is not null").join(graded, key).select("text", "grade", "raters", F.xxhash64(key).alias("place"))
+    texts = documents.select(key, "text").where("text is not null")
+    graded = graded.join(texts.select(key), key, "left_semi").orderBy(F.xxhash64(key), key).limit(most)
+    rows = texts.join(graded, key).select("text", "grade", "raters", F.xxhash64(key).alias("place"))
     got = rows.mapInPandas(_features_of, "place long, grade double, raters long, x binary").toPandas().sort_values(["place", "grade"])
     x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(got), SYNTAX + BUCKETS)
     return fit(x, got["grade"].to_numpy(float), got["raters"].to_numpy(float))

@@ -4,7 +4,8 @@ A record takes part in comparisons through two keys. Its *reference* is source
 and source_record_id without case, spaces and separators. Its *payment* is
 direction, amount in cents, day and the core form of the payee's name. Copies
 collapse into their keys before anything is joined, so however often a record
-was delivered, it is one reference and one payment.
+was delivered, it is one reference and one payment. Both are digests of 128
+bits, the *nodes* between which links are drawn.
 """
 
 from __future__ import annotations
@@ -14,9 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ledgerloom.llm.graph import components
+from ledgerloom.llm import alike
 from ledgerloom.llm.names import core, relation
-from ledgerloom.runtime import written
+from ledgerloom.runtime import spread
+
+#: Slots of up to so many payments are compared pair by pair, larger ones by the keys of ``alike``: both are complete.
+BOUND = 48
+PAY = ("dir", "cents", "day", "form")
 
 
 @F.pandas_udf(StringType())
@@ -34,46 +39,68 @@ def direction(c: Column) -> Column:
     return F.nullif(F.lower(F.btrim(c, F.lit(" \t\r\n\u00a0"))), F.lit(""))
 
 
+def digest(*parts: Column) -> Column:
+    """128-bit digest of text parts; null if one is null."""
+    whole = F.concat(*[F.concat(p.cast("string"), F.lit("\u001f")) for p in parts])
+    return F.unhex(F.md5(whole.cast("binary")))
+
+
 def reference(source: Column, record_id: Column) -> Column:
-    """Key of source and record id without case and separators; null if either is missing."""
+    """Digest of source and record id without case and separators; null if either is missing."""
     bare = F.nullif(F.regexp_replace(F.lower(record_id), r"[^\p{L}\p{N}]+", ""), F.lit(""))
-    return F.concat(F.lit("r|"), source, F.lit("|"), bare)
+    return digest(F.lit("r"), source, bare)
 
 
-def keyed(df: DataFrame, *keep: str) -> DataFrame:
-    """id, the columns ``keep``, ref and pay keys, and the parts of pay (dir, cents, day, form).
+def keyed(df: DataFrame, *keep: str | Column) -> DataFrame:
+    """id, the columns ``keep``, ref, the parts of the payment (dir, cents, day, form) and node.
 
-    A key is null where a part of it is null, blank or no real value (dates that
-    don't parse, amounts that are no number, names without letters or digits).
+    The node is the payment's digest or, where a part of it is null, blank or
+    no real value (dates that don't parse, amounts that are no number, names
+    without letters or digits), the reference's; null if there is neither.
     """
     day = F.datediff(F.col("transaction_date").try_cast("date"), F.lit("1970-01-01").cast("date"))
-    base = df.select("id", *keep, reference(F.col("source"), F.col("source_record_id")).alias("ref"), direction(F.col("direction")).alias("dir"), cents(F.col("amount")).alias("cents"), day.alias("day"), F.nullif(name_form("merchant_raw"), F.lit("")).alias("form"))
-    return base.withColumn("pay", F.concat(F.lit("p|"), "dir", F.lit("|"), F.col("cents").cast("string"), F.lit("|"), F.col("day").cast("string"), F.lit("|"), "form"))
+    ref = reference(F.col("source"), F.col("source_record_id"))
+    parts = [direction(F.col("direction")).alias("dir"), cents(F.col("amount")).alias("cents"), day.alias("day"), F.nullif(name_form("merchant_raw"), F.lit("")).alias("form")]
+    base = df.select("id", *keep, ref.alias("ref"), *parts)
+    pay = digest(F.lit("p"), *[F.col(c) for c in PAY])
+    return base.withColumn("node", F.coalesce(pay, "ref")).withColumn("paid", pay.isNotNull())
 
 
 def payments(rows: DataFrame) -> DataFrame:
-    """Distinct payments that may have a partner: (pay, form, day, slot).
+    """Distinct payments: node, pay (64 bits of it, to join with) and parts."""
+    return rows.where("paid").select("node", F.xxhash64("node").alias("pay"), *PAY).distinct()
+
+
+def probes(new: DataFrame, every: DataFrame) -> DataFrame:
+    """The payments ``new`` once for each day within a day of theirs on which ``every`` has others of equal direction and cents.
 
-    Payments at most one day apart share a slot (direction, cents and one of
-    two overlapping pairs of days); a slot with one payment only has no pair to
-    offer and is left out.
+    ``at`` is that day and ``n`` the number of payments in that slot. A payment
+    without company on any of these days is left out here, before anything is
+    computed from its name.
     """
-    pays = rows.where("pay is not null").groupBy("pay").agg(*[F.first(c).alias(c) for c in ("dir", "cents", "day", "form")])
-    slots = pays.withColumn("half", F.explode(F.array(F.floor(F.col("day") / 2), F.floor((F.col("day") + 1) / 2) + F.lit(0.5))))
-    slots = slots.withColumn("slot", F.xxhash64("dir", "cents", "half")).select("pay", "form", "day", "slot")
-    busy = slots.groupBy("slot").agg(F.count("*").alias("n")).where("n > 1").select("slot")
-    return slots.join(busy, "slot")
+    slots = every.groupBy("dir", "cents", F.col("day").alias("at")).agg(F.count("*").alias("n"))
+    asked = new.withColumn("at", F.explode(F.array(F.col("day") - 1, F.col("day"), F.col("day") + 1)))
+    return asked.join(slots, ["dir", "cents", "at"]).where("n > 1 or at <> day")
 
 
-def slot_pairs(old: DataFrame, new: DataFrame) -> DataFrame:
-    """All pairs (a < b) of different payments of a slot at most a day apart, one of ``old`` and one of ``new``.
+def slot_pairs(asked: DataFrame, every: DataFrame, bound: int = BOUND) -> DataFrame:
+    """Pairs (a < b, as pay) of payments of a slot: all pairs of slots up to ``bound`` payments, alike names of larger ones.
 
-    The exact candidates: whatever names ``confirmed`` accepts, the pair is among them.
+    Whatever names ``confirmed`` accepts, the pair is among them. A slot with
+    more payments is never compared pair by pair.
     """
-    o = old.select("slot", F.col("pay").alias("a"), F.col("day").alias("da")).distinct()
-    n = new.select("slot", F.col("pay").alias("b"), F.col("day").alias("db")).distinct()
-    met = o.join(n, "slot").where("a <> b and abs(da - db) <= 1")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    o = every.select("dir", "cents", F.col("day").alias("at"), F.col("pay").alias("o"))
+    few = asked.where(F.col("n") <= bound).join(o, ["dir", "cents", "at"]).where("o <> pay")
+    few = few.select(F.least("o", "pay").alias("a"), F.greatest("o", "pay").alias("b"))
+    hot = asked.where(F.col("n") > bound)
+    slots = hot.select("dir", "cents", "at").distinct()
+    members = every.join(slots.withColumnRenamed("at", "day"), ["dir", "cents", "day"], "left_semi").select("pay", *PAY)
+    members = members.unionByName(hot.select("pay", *PAY)).distinct()
+    two = F.explode(F.array(F.floor(F.col("day") / 2) * 2, F.floor((F.col("day") + 1) / 2) * 2 - 1))
+    members = members.withColumn("half", two).select(F.xxhash64("dir", "cents", "half").alias("g"), F.col("pay").alias("fid"), "form")
+    if members.isEmpty():
+        return few.distinct()
+    return few.unionByName(alike.candidates(members, edits=2)).distinct()
 
 
 def _same(batches):
@@ -83,27 +110,19 @@ def _same(batches):
 
 
 def confirmed(pairs: DataFrame, pays: DataFrame) -> DataFrame:
-    """Of candidate pairs (a, b) of payments those whose names name the same payee.
+    """Of candidate pairs (a, b, as pay) those that are the same payment, as nodes (a, b).
 
-    Direction, amount and day agree already, so two slips of the keyboard are
+    Direction and cents are equal, the days at most one apart, and the names
+    name the same payee. As all else agrees, two slips of the keyboard are
     allowed, and missing words or initials need not be unambiguous.
     """
-    side = pays.select("pay", "form").distinct()
-    full = pairs.join(side.select(F.col("pay").alias("a"), F.col("form").alias("fa")), "a").join(side.select(F.col("pay").alias("b"), F.col("form").alias("fb")), "b")
-    return full.select("a", "b", "fa", "fb").mapInPandas(_same, "a string, b string")
-
-
-def classes(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """The rows with ``cls``, the same for all rows that are one record, directly or through others.
-
-    Links between payments, and the pairs of payment and reference that a row
-    holds, are contracted; rows with neither key get no class (null).
-    """
-    both = rows.where("pay is not null and ref is not null").select(F.col("pay").alias("a"), F.col("ref").alias("b")).distinct()
-    found = components(links.select("a", "b").unionByName(both))
-    key = rows.withColumn("key", F.coalesce("pay", "ref"))
-    return key.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("cls", F.coalesce("root", "key")).drop("key", "root")
+    side = lambda x: pays.select(F.col("pay").alias(x), *[F.col(c).alias(x + c) for c in ("node", *PAY)])
+    full = pairs.join(side("a"), "a").join(side("b"), "b").where("adir = bdir and acents = bcents and abs(aday - bday) <= 1 and anode <> bnode")
+    full = full.select(F.col("anode").alias("a"), F.col("bnode").alias("b"), F.col("aform").alias("fa"), F.col("bform").alias("fb"))
+    return spread(full).mapInPandas(_same, "a binary, b binary")
 
 
-def prepared(df: DataFrame, *keep: str) -> DataFrame:
-    return written(keyed(df, *keep), "records")
+def reference_links(held: DataFrame) -> DataFrame:
+    """Links (a, b) between the nodes that hold one reference (ref, node): each to the least of them."""
+    several = held.groupBy("ref").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("ref", "a")
+    return held.join(several, "ref").where("node <> a").select("a", F.col("node").alias("b")).distinct()

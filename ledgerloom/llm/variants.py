@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ledgerloom.llm import alike
 from ledgerloom.llm.graph import components
-from ledgerloom.llm.names import FULL_NAME, NICKNAMES, STRONG, WEAK, _legal, core, relation
-from ledgerloom.runtime import written
-
-MIN_SUFFIX, SHORT, START, UNSPACED = 4, 6, 6, 10
+from ledgerloom.llm.names import STRONG, WEAK, core, relation
+from ledgerloom.runtime import Scratch, spread, written
 
 
 @F.pandas_udf(StringType())
@@ -24,157 +20,103 @@ def core_form(s: pd.Series) -> pd.Series:
 
 def _related(batches):
     for pdf in batches:
-        found = [relation(a, b) for a, b in zip(pdf["fa"], pdf["fb"])]
+        found = [relation(a, b, 2 if same else 1) for a, b, same in zip(pdf["fa"], pdf["fb"], pdf["same"])]
         pdf = pdf.assign(kind=[f and f[0] for f in found], firm=[f[1] if f else 0 for f in found])
         yield pdf[pdf["kind"].notna()][["a", "b", "fa", "fb", "kind", "firm"]]
 
 
-def _slips(word: str) -> set[str]:
-    """The word itself and without each one of its letters: two words a typo apart share one of these."""
-    return {word} | {word[:i] + word[i + 1 :] for i in range(len(word))}
+def candidate_pairs(forms: DataFrame) -> DataFrame:
+    """Pairs (a < b) of forms (fid, form) to be compared: none that ``relation`` accepts is missing.
 
-
-def _other(o: str, small: bool) -> list[str]:
-    """Keys that agreeing tokens share unless by a typo: three letters, the first letter if one may be an abbreviation or an initial, the full first name."""
-    keys = ["3" + o[:3]] if len(o) >= 3 else []
-    keys += ["w" + o[0]] * (small or len(o) <= 6) + ["u" + o[0]] * (not small or len(o) <= 6)
-    return keys + ["n" + FULL_NAME.get(o, o)] * (o in FULL_NAME or o in NICKNAMES)
+    The dictionary of all tokens is indexed by suffix, overly common suffixes
+    are refined by other properties of the token before any are discarded, and
+    tokens shortened by a letter find the rest. Forms then meet through the
+    rarest token of the form with fewer tokens (alike.candidates).
+    """
+    return alike.candidates(forms.select(F.lit(0).cast("long").alias("g"), "fid", "form"), 1, suffixes=True)
 
 
-def exact_keys(form: str, ranked: list[str], small: bool) -> set[str]:
-    """Keys of a form as the one with fewer (``small``) or more tokens: ``relation`` accepts no two forms that share none.
+def norm_pairs(forms: DataFrame, norms: DataFrame) -> DataFrame:
+    """Pairs (a < b): a form and the most frequent form that has the same normalised name (norms: fid, norm, n).
 
-    Two or more tokens: the pair's anchor (five letters or more, equal or a typo
-    apart) together with another token. All tokens of the smaller form find a
-    partner, so it needs but one other token for each anchor and takes the
-    rarest; the other form has each of its tokens. One typo is allowed, so a
-    token with one has an equal anchor. One token: the other form without
-    blanks, or its first word with the first letter of what follows.
+    The normalised name is often wrong or missing, so it only proposes pairs.
     """
-    ts = form.split(" ")
-    if len(ts) == 1 and small:
-        keys = {"j" + k for k in _slips(form)} | {"j" + form[:i] for i in range(max(1, len(form) - 13), len(form)) if _legal(form[i:])}
-        for i in range(5, len(form) - 1 if len(form) >= 10 else 0):
-            rest = re.sub("^sons|and", "", form[i : i + 9])
-            keys |= {f"f{form[:i]}|{rest[0]}"} if rest else {f"f{form[:i]}|{c}" for c in set(form[i:])}
-        return keys
-    joined = "".join(ts)
-    keys = set() if small else {"j" + k for k in _slips(joined)}
-    for i, x in enumerate(ts):
-        if len(x) < 5 or len(ts) == 1:
-            continue
-        if not small:
-            keys.add(f"f{x}|{''.join(ts[i + 1 :] + ts[:i])[0]}")
-        rest = ts[:i] + ts[i + 1 :]
-        for o in [min(rest, key=ranked.index)] if small else set(rest):
-            keys |= {f"{v}|{k}" for v in _slips(x) for k in _other(o, small)}
-            keys |= {f"{x}|t{k}" for k in _slips(o)} if len(o) >= 4 else set()
-    return keys
-
-
-def _exact_rows(batches):
-    for pdf in batches:
-        for small in (True, False):
-            keys = [[xxhash.xxh64_intdigest(k) - (1 << 63) for k in exact_keys(f, list(r), small)] for f, r in zip(pdf["form"], pdf["ranked"])]
-            out = pd.DataFrame({"fid": pdf["fid"], "k": pdf["form"].str.count(" ") + 1, "small": small, "key": keys}).explode("key").dropna()
-            yield out.astype({"key": "int64", "k": "int32"})
-
-
-def exact_pairs(forms: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Pairs (a < b) of forms that share one of ``exact_keys``; ``tokens`` has (fid, t, rank), the rarest token first."""
-    ranked = tokens.groupBy("fid").agg(F.array_sort(F.collect_list(F.struct("rank", "t"))).alias("r")).select("fid", F.col("r.t").alias("ranked"))
-    keyed = forms.select("fid", "form").join(ranked, "fid").mapInPandas(_exact_rows, "fid string, k int, small boolean, key long")
-    keyed = written(keyed, "exact")
-    p, q = keyed.where("small").alias("p"), keyed.where("not small").alias("q")
-    met = p.join(q, "key").where("p.fid <> q.fid and q.k between p.k and p.k + if(p.k = 1, 1000000, 3)")
-    return met.select(F.least("p.fid", "q.fid").alias("a"), F.greatest("p.fid", "q.fid").alias("b")).distinct()
-
-
-def candidate_pairs(forms: DataFrame, common: int = 64) -> DataFrame:
-    """Pairs (a < b) of forms (fid, form) that share a block.
-
-    Every token's suffixes of ``MIN_SUFFIX`` letters or more are counted over
-    all forms. A token is indexed under its shortest suffix that at most
-    ``common`` forms share. Longer-shared suffixes are overly common: they are
-    refined by the first letters of another token of the form (or of the token
-    itself in front of the suffix) - three letters, or one where either token
-    is short enough to be an abbreviation. Refined blocks are never cut off,
-    but a pair must meet in the rarest token of one of its forms: what two
-    forms share without it is a trade or a first name, not a payee. What this
-    leaves out (slips in first letters, pairs that meet in other tokens only) is
-    found by ``exact_pairs``.
-    A form of one long token may be a name written without blanks, whose words'
-    suffixes lie inside it: it is also held against tokens that start alike.
-    """
-    tokens = forms.select("fid", F.array_distinct(F.split("form", " ")).alias("ts")).select("fid", "ts", F.explode("ts").alias("t"))
-    known = tokens.groupBy("t").agg(F.count("*").alias("df"))
-    ranks = Window.partitionBy("fid").orderBy("df", "t")
-    tokens = written(tokens.join(known, "t").withColumn("rank", F.row_number().over(ranks)), "tokens")
-    long = tokens.where(F.length("t") >= MIN_SUFFIX).select("fid", "t", "ts", "rank")
-    suffixes = long.select("fid", "t", F.explode(F.transform(F.sequence(F.lit(MIN_SUFFIX), F.length("t")), lambda k: F.right(F.col("t"), k))).alias("s"))
-    often = suffixes.groupBy("s").agg(F.countDistinct("fid").alias("n")).where(F.col("n") > common).select("s")
-    depth = suffixes.join(often, "s").groupBy("fid", "t").agg(F.max(F.length("s")).alias("d"))
-    level = written(long.join(depth, ["fid", "t"], "left").withColumn("d", F.coalesce("d", F.lit(0))), "level")
-    leaf = level.where(F.length("t") > F.col("d")).select("fid", F.right("t", F.greatest(F.lit(MIN_SUFFIX), F.col("d") + 1)).alias("key"), F.lit(1).alias("rank"))
-    deep = level.where(F.col("d") > 0).select("fid", F.right("t", F.col("d")).alias("s"), "t", "d", F.col("rank").alias("of"))
-    refined = deep.join(tokens.select("fid", F.col("t").alias("x"), "rank"), "fid").where((F.col("x") != F.col("t")) | (F.length("t") > F.col("d")))
-    three = refined.where(F.length("x") >= 3).select("fid", F.concat_ws("|", "s", F.left("x", F.lit(3))).alias("key"), "rank")
-    blocks = leaf.unionByName(three).groupBy("fid", "key").agg(F.min("rank").alias("rank"))
-    unspaced = level.where((F.size("ts") == 1) & (F.length("t") >= UNSPACED)).select("fid", F.left("t", F.lit(START)).alias("key"))
-    starts = level.where((F.size("ts") > 1) & (F.length("t") >= START)).select("fid", F.left("t", F.lit(START)).alias("key"))
-    one = refined.select("fid", F.concat_ws("|", "s", F.left("x", F.lit(1))).alias("key"), "of", (F.length("x") <= SHORT).alias("brief"))
-    one = one.groupBy("fid", "key", "brief").agg(F.min("of").alias("of"))
-    pairs = blocks.alias("p").join(blocks.alias("q"), "key").where("p.fid < q.fid and (p.rank = 1 or q.rank = 1)").select(F.col("p.fid").alias("a"), F.col("q.fid").alias("b"))
-    more = one.where("brief").alias("p").join(one.alias("q"), "key").where("p.fid <> q.fid and (p.of = 1 or q.of = 1)").select(F.least("p.fid", "q.fid").alias("a"), F.greatest("p.fid", "q.fid").alias("b"))
-    glued = unspaced.alias("p").join(starts.alias("q"), "key").select(F.least("p.fid", "q.fid").alias("a"), F.greatest("p.fid", "q.fid").alias("b"))
-    return pairs.unionByName(more).unionByName(glued).unionByName(exact_pairs(forms, tokens)).distinct()
-
-
-def link_forms(forms: DataFrame, common: int = 64) -> DataFrame:
-    """(fid, payee) for forms (fid, form, n): payee is the least fid of those that name the same.
+    main = norms.groupBy("norm").agg(F.max_by("fid", F.struct("n", "fid")).alias("main"))
+    pairs = norms.join(main, "norm").where("fid <> main")
+    return pairs.select(F.least("fid", "main").alias("a"), F.greatest("fid", "main").alias("b")).distinct()
+
+
+def link_forms(forms: DataFrame, norms: DataFrame | None = None) -> DataFrame:
+    """(fid, payee) for forms (fid, form): payee is the least fid of those that name the same.
 
     Strong relations are joined by contraction. A weak one (tokens missing, or
     an initial) joins a form's component to that of the best-matching longer
     forms, with the most letters in equal tokens, then the fewest tokens, only
-    if all these are of one component.
+    if all these are of one component. Two slips of the keyboard are accepted
+    where the normalised names agree (``norms``).
     """
-    tried = candidate_pairs(forms, common)
-    side = forms.select("fid", "form")
-    full = tried.join(side.select(F.col("fid").alias("a"), F.col("form").alias("fa")), "a").join(side.select(F.col("fid").alias("b"), F.col("form").alias("fb")), "b")
-    links = written(full.select("a", "b", "fa", "fb").mapInPandas(_related, "a string, b string, fa string, fb string, kind string, firm int"), "relations")
-    comps = written(components(links.where(F.col("kind") == STRONG)), "strong")
-    all_forms = forms.select("fid").join(comps.withColumnRenamed("node", "fid"), "fid", "left").select("fid", F.coalesce("root", "fid").alias("root"))
-    weak = links.where(F.col("kind") == WEAK)
-    size = lambda c: F.size(F.split(c, " "))
-    letters = lambda c: F.length(F.replace(F.col(c), F.lit(" ")))
-    smaller = (size("fa") < size("fb")) | ((size("fa") == size("fb")) & (letters("fa") < letters("fb")))
-    weak = weak.select(F.when(smaller, F.col("a")).otherwise(F.col("b")).alias("small"), F.when(smaller, F.col("b")).otherwise(F.col("a")).alias("large"), F.struct(-F.col("firm"), F.greatest(size("fa"), size("fb"))).alias("k"))
-    weak = weak.join(all_forms.select(F.col("fid").alias("large"), F.col("root").alias("to")), "large").join(all_forms.select(F.col("fid").alias("small"), F.col("root").alias("from")), "small")
-    weak = weak.where("from <> to")
-    fewest = weak.groupBy("small").agg(F.min("k").alias("k"))
-    firm = weak.join(fewest, ["small", "k"]).groupBy("small", "from").agg(F.min("to").alias("to"), F.max("to").alias("to2")).where("to = to2").select(F.col("from").alias("a"), F.col("to").alias("b"))
-    joined = components(firm)
-    roots = all_forms.join(joined.select(F.col("node").alias("root"), F.col("root").alias("over")), "root", "left")
-    return roots.select("fid", F.coalesce("over", "root").alias("payee"))
-
-
-def spellings(df: DataFrame, name: str, common: int = 64) -> DataFrame:
-    """(name, n, payee) of every distinct spelling that is not null or blank.
+    with Scratch(forms.sparkSession, "forms") as scratch:
+        tried = candidate_pairs(forms).withColumn("same", F.lit(False))
+        if norms is not None:
+            tried = tried.unionByName(norm_pairs(forms, norms).withColumn("same", F.lit(True)))
+        tried = tried.groupBy("a", "b").agg(F.max("same").alias("same"))
+        fa, fb = forms.select(F.col("fid").alias("a"), F.col("form").alias("fa")), forms.select(F.col("fid").alias("b"), F.col("form").alias("fb"))
+        full = tried.join(fa, "a").join(fb, "b").select("a", "b", "fa", "fb", "same")
+        kind = forms.schema["fid"].dataType.simpleString()
+        links = scratch.written(spread(full).mapInPandas(_related, f"a {kind}, b {kind}, fa string, fb string, kind string, firm int"), "relations")
+        comps = components(links.where(F.col("kind") == STRONG))
+        all_forms = forms.select("fid").join(comps.withColumnRenamed("node", "fid"), "fid", "left").select("fid", F.coalesce("root", "fid").alias("root"))
+        all_forms = scratch.written(all_forms, "strong")
+        weak = links.where(F.col("kind") == WEAK)
+        size = lambda c: F.size(F.split(c, " "))
+        letters = lambda c: F.length(F.replace(F.col(c), F.lit(" ")))
+        smaller = (size("fa") < size("fb")) | ((size("fa") == size("fb")) & (letters("fa") < letters("fb")))
+        weak = weak.select(
+            F.when(smaller, F.col("a")).otherwise(F.col("b")).alias("small"), F.when(smaller, F.col("b")).otherwise(F.col("a")).alias("large"),
+            F.struct(-F.col("firm"), F.greatest(size("fa"), size("fb"))).alias("k"),
+        )
+        weak = weak.join(all_forms.select(F.col("fid").alias("large"), F.col("root").alias("to")), "large")
+        weak = weak.join(all_forms.select(F.col("fid").alias("small"), F.col("root").alias("from")), "small").where("from <> to")
+        fewest = weak.groupBy("small").agg(F.min("k").alias("k"))
+        firm = weak.join(fewest, ["small", "k"]).groupBy("small", "from").agg(F.min("to").alias("to"), F.max("to").alias("to2"))
+        joined = components(firm.where("to = to2").select(F.col("from").alias("a"), F.col("to").alias("b")))
+        roots = all_forms.join(joined.select(F.col("node").alias("root"), F.col("root").alias("over")), "root", "left")
+        return written(roots.select("fid", F.coalesce("over", "root").alias("payee")), "payees")
+
+
+def spellings(df: DataFrame, name: str, norm: str | None = None) -> DataFrame:
+    """(name, n, payee) of every distinct spelling that is not null or blank; ``norm`` names a column of normalised names.
 
     Rows are counted per spelling first, spellings per core form next, so a
     name that stands in a third of all rows is one row from the first
     aggregation on. Names without letters or digits are each on their own.
     """
-    raw = df.select(F.col(name).alias("name")).where("trim(name) <> ''").groupBy("name").agg(F.count("*").alias("n"))
-    raw = raw.withColumn("form", core_form("name"))
-    raw = written(raw.withColumn("fkey", F.when(F.col("form") == "", F.concat(F.lit("\u0000"), F.col("name"))).otherwise(F.array_join(F.array_sort(F.split("form", " ")), " "))), "spellings")
-    forms = raw.where("form <> ''").groupBy(F.col("fkey").alias("fid")).agg(F.max_by("form", F.struct("n", "form")).alias("form"), F.sum("n").alias("n"))
-    payees = link_forms(written(forms, "forms"), common).withColumnRenamed("fid", "fkey")
-    return raw.join(payees, "fkey", "left").select("name", "n", F.coalesce("payee", "fkey").alias("payee"))
-
-
-def variant_pairs(linked: DataFrame, slices: int = 16) -> DataFrame:
-    """(name_a < name_b) of each payee; the pairs of one payee are spread over ``slices`` tasks."""
-    left = linked.select("payee", F.col("name").alias("name_a"), (F.abs(F.xxhash64("name")) % slices).alias("slice"))
-    right = linked.select("payee", F.col("name").alias("name_b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))).alias("slice"))
-    return left.join(right, ["payee", "slice"]).where("name_a < name_b").select("name_a", "name_b")
+    cols = [F.col(name).alias("name"), (F.lit(None).cast("string") if norm is None else F.col(norm)).alias("norm")]
+    raw = df.select(*cols).where("trim(name) <> ''").groupBy("name", "norm").agg(F.count("*").alias("n"))
+    with Scratch(df.sparkSession, "spellings") as scratch:
+        counted = scratch.written(raw, "rows")
+        named = counted.groupBy("name").agg(F.sum("n").alias("n")).withColumn("form", core_form("name"))
+        by_tokens = F.array_join(F.array_sort(F.split("form", " ")), " ")
+        named = written(named.withColumn("fkey", F.when(F.col("form") == "", F.concat(F.lit("\u0000"), F.col("name"))).otherwise(by_tokens)), "names")
+        forms = named.where("form <> ''").groupBy("fkey").agg(F.max_by("form", F.struct("n", "form")).alias("form"))
+        forms = scratch.written(forms.withColumn("fid", F.monotonically_increasing_id()), "forms")
+        norms = None
+        if norm is not None:
+            known = counted.where("trim(norm) <> ''").withColumn("norm", F.lower(F.btrim("norm")))
+            known = known.join(named.select("name", "fkey"), "name").join(forms.select("fid", "fkey"), "fkey")
+            norms = known.groupBy("fid", "norm").agg(F.sum("n").alias("n"))
+        payees = link_forms(forms.select("fid", "form"), norms)
+        least = forms.join(payees, "fid")
+        least = least.join(least.groupBy("payee").agg(F.min("fkey").alias("least")), "payee").select("fkey", F.col("least").alias("payee"))
+        least = written(least, "payee-of")
+    return named.join(least, "fkey", "left").select("name", "n", F.coalesce("payee", "fkey").alias("payee"))
+
+
+def variant_pairs(linked: DataFrame, cell: int = 512) -> DataFrame:
+    """(name_a < name_b) of each payee; the pairs of a payee of many names are cut into cells of about ``cell`` names."""
+    sizes = linked.groupBy("payee").agg(F.count("*").alias("names")).where("names > 1").select("payee", F.ceil(F.col("names") / cell).alias("cells"))
+    several = linked.select("payee", "name").join(sizes, "payee").withColumn("mine", F.pmod(F.xxhash64("name"), F.col("cells")))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1))
+    left = several.select("payee", F.col("name").alias("name_a"), F.col("mine").alias("i"), every.alias("j"))
+    right = several.select("payee", F.col("name").alias("name_b"), F.col("mine").alias("j"), every.alias("i"))
+    return left.join(right, ["payee", "i", "j"]).where("name_a < name_b").select("name_a", "name_b")
