@@ -43,6 +43,6 @@ def test_one_word_names_with_a_slip_at_the_end(spark):
 
 
 def test_normalised_names_only_propose(spark):
-    rows = [("Stapevegro Bakery", "s")] * 3 + [("Stpvgro Bakery", "s"), ("Zathadotra Fuel Depot", "s"), ("Klechethasham Mfg", None)]
+    rows = [("Stapevegro Bakery", "s")] * 3 + [("Stpvegro Bakery", "s"), ("Zathadotra Fuel Depot", "s"), ("Klechethasham Mfg", None)]
     df = spark.createDataFrame(rows, "merchant_raw string, merchant_norm string")
-    assert {tuple(r) for r in variants.variant_pairs(variants.spellings(df, "merchant_raw", "merchant_norm")).collect()} == {("Stapevegro Bakery", "Stpvgro Bakery")}
+    assert {tuple(r) for r in variants.variant_pairs(variants.spellings(df, "merchant_raw", "merchant_norm")).collect()} == {("Stapevegro Bakery", "Stpvegro Bakery")}
