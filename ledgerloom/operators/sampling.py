@@ -53,3 +53,33 @@ def round_robin(df: DataFrame, by: str, key: str, n: int) -> DataFrame:
     w = Window.partitionBy(by).orderBy(key)
     sized = df.withColumn("_turn", F.row_number().over(w)).withColumn("_size", F.count("*").over(Window.partitionBy(by)))
     return sized.orderBy("_turn", "_size", F.asc_nulls_first(by), key).limit(n).drop("_turn", "_size")
+
+
+def supported(df: DataFrame, key: str, label: str, least: int, share: float, seeds: tuple[int, int]) -> DataFrame:
+    """Add ``split``: test for about ``share`` of the rows by hash, and for the first ``least`` of every label at least; train for the rest.
+
+    ``share`` is rounded down to sixteenths. The first rows of a label are found
+    by a limited rank, which drops the others before they are shuffled.
+    """
+    first = per_group(df.withColumn("_h", hash_key(seeds[0], key)), label, [F.col("_h"), F.col(key)], least).select(key, F.lit(True).alias("_first"))
+    drawn = hash_key(seeds[1], key) < F.lit(f"{int(share * 16):x}")
+    joined = df.join(first, key, "left")
+    return joined.withColumn("split", F.when(F.coalesce("_first", F.lit(False)) | drawn, "test").otherwise("train")).drop("_first")
+
+
+def locked_split(df: DataFrame, key: str, path: str, seed: int, share: float) -> DataFrame:
+    """(key, split): made by hash and stored at ``path`` once, replayed from there ever after.
+
+    A later call with other rows than the stored ones is an error, raised when
+    the split is read. ``share`` of the test rows is rounded down to sixteenths.
+    """
+    from ledgerloom.sources import store
+
+    kind = df.schema[key].dataType.simpleString()
+    old = store.read(df.sparkSession, path, f"{key} {kind}, split string")
+    if old.isEmpty():
+        made = df.select(key, F.when(hash_key(seed, key) < F.lit(f"{int(share * 16):x}"), "test").otherwise("train").alias("split"))
+        made.write.mode("overwrite").parquet(path)
+        return store.read(df.sparkSession, path, made.schema)
+    both = old.join(df.select(key, F.lit(True).alias("_now")), key, "full_outer")
+    return store.assert_rows(both, F.col("split").isNull() | F.col("_now").isNull(), "the locked split doesn't match these rows").drop("_now")

@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import evaluate, joins, ledger, rules, sampling, timestamps
 from ledgerloom.runtime import table
 
-CATEGORIES = ["Advertising & Marketing", "COGS", "Education & Training", "Equipment & Software", "Financial Fees", "Income", "Insurance", "Meals & Entertainment", "Office Supplies", "Other Expense", "Payroll & Contractors", "Professional Services", "Rent & Utilities", "Repairs & Maintenance", "Taxes & Licenses", "Travel", "Vehicle Expenses"]
+# The category names, in their usual order.
+CATEGORIES = [
+    "Income", "COGS", "Rent & Utilities", "Repairs & Maintenance", "Office Supplies", "Equipment & Software", "Advertising & Marketing", "Travel", "Meals & Entertainment", "Vehicle Expenses",
+    "Professional Services", "Financial Fees", "Insurance", "Taxes & Licenses", "Payroll & Contractors", "Education & Training", "Other Expense",
+]
 _IN = "(" + ", ".join(f"'{c}'" for c in CATEGORIES) + ")"
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("timestamp_queries", "row_queries", "text_queries", "record_queries", "learning_queries", "report_queries")
+MODULES = ("timestamp_queries", "row_queries", "text_queries", "record_queries", "learning_queries", "report_queries", "store_queries")
 
 
 def collect(kind: str) -> dict:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.rules import cascade
+from ledgerloom.sources.store import SPACES
 
 
 def to_csv(df: DataFrame, path: str) -> None:
     """CSV with a header; the number of files follows the frame's partitions."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    df.write.mode("overwrite").options(**SPACES).option("header", True).option("escape", '"').csv(path)
 
 
 def import_lines(df: DataFrame, category: Column) -> DataFrame:
@@ -29,9 +31,11 @@ def audit_lines(df: DataFrame, run_id: str) -> DataFrame:
 
 def append_new(spark: SparkSession, df: DataFrame, path: str, key: str) -> None:
     """Append the rows whose key the JSON store at ``path`` doesn't have; rows with a null key are always appended."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+    try:
         df = df.join(spark.read.schema(df.schema).json(path).select(key).distinct(), key, "left_anti")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
     df.write.mode("append").json(path)
 
 
