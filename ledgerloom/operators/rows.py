@@ -64,6 +64,10 @@ def _by_feed(feed: Column, feeds: list[Feed], make) -> Column:
 def classify(df: DataFrame, text: str, feed: str, feeds: list[Feed], reason: str = "reason", broken: str = "broken_field") -> DataFrame:
     """Add ``reason`` (null: valid) and the name of the first broken field.
 
+    A row that the pattern of whole rows doesn't match is tried field by field:
+    the first prefix of well-quoted fields that doesn't fit ends at a missing
+    field (the row ends before it) or at broken quoting; if all fit, the row has
+    surplus fields or a wrong value.
     The reason is the first that applies of ``quoting`` (a double quote other
     than around a whole field or doubled inside one), ``column_count`` and
     ``value``. A null text is ``column_count`` with no broken field, an empty
@@ -74,7 +78,12 @@ def classify(df: DataFrame, text: str, feed: str, feeds: list[Feed], reason: str
     t, f = F.col(text), F.col(feed)
 
     def why(x: Feed) -> Column:
-        return F.when(t.isNull(), COLUMN_COUNT).when(t.rlike(x.whole_row()), None).when(~t.rlike(WELL_QUOTED), QUOTING).when(~t.rlike(x.counted()), COLUMN_COUNT).otherwise(VALUE)
+        out = F.when(t.rlike(x.counted()), VALUE).when(t.rlike(WELL_QUOTED), COLUMN_COUNT).otherwise(QUOTING)
+        for k in reversed(range(1, len(x.header) + 1)):
+            fields = "^" + ",".join([_FIELD] * k)
+            ended = t.rlike("^" + ",".join([_FIELD] * (k - 1)) + _END) if k > 1 else F.lit(False)
+            out = F.when(t.rlike(fields + rf"(?=,|{_END})"), out).otherwise(F.when(ended, COLUMN_COUNT).otherwise(QUOTING))
+        return F.when(t.isNull(), COLUMN_COUNT).when(t.rlike(x.whole_row()), None).otherwise(out)
 
     def first_broken(x: Feed) -> Column:
         out = F.lit("+")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.prefix import prefix_sums
+
 
 def hash_key(seed: int, *cols: str) -> Column:
     """Order key of a seeded shuffle: the md5 of seed and key, the same on every engine."""
@@ -17,10 +19,14 @@ def sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
 
 
 def stratified_split(df: DataFrame, key: str, label: str, shares: dict[str, float], seed: int = 0) -> DataFrame:
-    """Add ``split``: within each label rows in hash order are cut at the shares."""
-    w = Window.partitionBy(label).orderBy("_h", key)
-    place = (F.row_number().over(w) - 0.5) / F.count("*").over(Window.partitionBy(label))
-    df = df.withColumn("_h", hash_key(seed, key)).withColumn("_p", place)
+    """Add ``split``: within each label rows in hash order are cut at the shares.
+
+    Places come from prefix sums, so a label of a third of the rows is many tasks.
+    """
+    hashed = df.withColumn("_h", hash_key(seed, key)).withColumn("_one", F.lit(1))
+    sizes = df.groupBy(F.col(label).alias("_l")).agg(F.count("*").alias("_size"))
+    placed = prefix_sums(hashed, label, ["_h", key], "_one", "_before")
+    df = placed.join(sizes, placed[label].eqNullSafe(sizes["_l"])).withColumn("_p", (F.col("_before") + 0.5) / F.col("_size")).drop("_one", "_before", "_l", "_size")
     names, end, split = list(shares), 1.0, F.lit(None)
     split = F.lit(names[-1])
     bounds, at = [], 0.0
@@ -33,9 +39,9 @@ def stratified_split(df: DataFrame, key: str, label: str, shares: dict[str, floa
 
 
 def folds(df: DataFrame, key: str, label: str, k: int, seed: int = 0) -> DataFrame:
-    """Add ``fold`` 0..k-1, dealt round robin within each label."""
-    w = Window.partitionBy(label).orderBy("_h", key)
-    return df.withColumn("_h", hash_key(seed, key)).withColumn("fold", (F.row_number().over(w) - 1) % k).drop("_h")
+    """Add ``fold`` 0..k-1, dealt round robin within each label, by prefix sums."""
+    hashed = df.withColumn("_h", hash_key(seed, key)).withColumn("_one", F.lit(1))
+    return prefix_sums(hashed, label, ["_h", key], "_one", "_before").withColumn("fold", F.col("_before") % k).drop("_h", "_one", "_before")
 
 
 def first_of(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
@@ -49,9 +55,14 @@ def per_group(df: DataFrame, by: str, order: list[Column], k: int) -> DataFrame:
 
 
 def round_robin(df: DataFrame, by: str, key: str, n: int) -> DataFrame:
-    """n rows taken in turns over the groups, the rarest group first in each turn."""
+    """n rows taken in turns over the groups, the rarest group first in each turn.
+
+    A limited rank keeps at most n rows a group before anything is sorted as a whole.
+    """
     w = Window.partitionBy(by).orderBy(key)
-    sized = df.withColumn("_turn", F.row_number().over(w)).withColumn("_size", F.count("*").over(Window.partitionBy(by)))
+    sizes = df.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("_size"))
+    turns = df.withColumn("_turn", F.row_number().over(w)).where(F.col("_turn") <= n)
+    sized = turns.join(sizes, turns[by].eqNullSafe(sizes["_by"])).drop("_by")
     return sized.orderBy("_turn", "_size", F.asc_nulls_first(by), key).limit(n).drop("_turn", "_size")
 
 

@@ -198,18 +198,17 @@ def local_day(df: DataFrame, text: str, home_zone: str, date_order: str, out: st
     return parsed.withColumn(out, day).drop(*[f"{p}{x}" for x in ("kind", "date", "local", "instant", "zone")])
 
 
-def estimate_zones(df: DataFrame, source: str, sequence: str, zones: list[str], prefix: str = "ts_", run: int = 4096, gap: int = 1800) -> DataFrame:
+def estimate_zones(df: DataFrame, source: str, sequence: str, zones: list[str], prefix: str = "ts_", run: int = 4096, gap: int = 86400) -> DataFrame:
     """Zone of each source by its offset history: (source, zone, votes, violations).
 
-    ``sequence`` is a whole number that rises with arrival. Within runs of
-    ``run`` numbers every naive local time is compared with the middle of the
-    nearest known instants before and after it, if these are at most ``gap``
-    seconds apart; the difference, in quarters of an hour, is a vote for an
-    offset on that day. A candidate zone is violated by every vote that its
-    offset on that day doesn't give; the zone with the fewest violations wins,
-    ties by name. Votes are summed per source, day and offset before zones are
-    tried, so what grows with the data is one shuffle of four narrow columns.
-    Sources without votes are absent from the result.
+    ``sequence`` is a whole number that rises with arrival. Every naive local
+    time has a known instant before and one after it in that order, looked for
+    in its run of ``run`` numbers and the runs beside it. Read in the right zone
+    it lies between the two; every candidate zone in which it doesn't is
+    violated once (pairs out of order, or more than ``gap`` seconds apart, say
+    nothing). The zone with the fewest violations wins, ties by name. Rows are
+    shuffled by run once and summed per source in one column a zone. Sources
+    without votes are absent from the result.
     """
     p = prefix
     base = df.select(
@@ -219,18 +218,17 @@ def estimate_zones(df: DataFrame, source: str, sequence: str, zones: list[str],
         F.when(F.col(f"{p}kind") == "instant", F.col(f"{p}instant")).alias("known"),
     ).where("seq is not null and (local is not null or known is not null)")
     base = base.withColumn("run", F.floor(F.col("seq") / run))
+    edges = base.where("known is not null").groupBy("run").agg(F.min_by("known", "seq").alias("first"), F.max_by("known", "seq").alias("last"))
+    left, right = edges.select((F.col("run") + 1).alias("run"), F.col("last").alias("left")), edges.select((F.col("run") - 1).alias("run"), F.col("first").alias("right"))
+    base = base.join(left, "run", "left").join(right, "run", "left")
     w = Window.partitionBy("run").orderBy("seq")
-    before = F.last("known", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first("known", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    votes = base.select("source", "local", before.alias("a"), after.alias("b")).where((F.col("local").isNotNull()) & (F.abs(F.col("b") - F.col("a")) <= gap))
-    middle = F.floor((F.col("a") + F.col("b")) / 2)
-    votes = votes.select("source", F.floor(middle / 86400).alias("day"), (F.round((F.col("local") - middle) / 900) * 900).cast("long").alias("offset"))
-    votes = votes.groupBy("source", "day", "offset").count().where(F.abs("offset") <= MAX_OFFSET)
-    tried = votes.withColumn("zone", F.explode(F.array(*[F.lit(z) for z in zones])))
-    noon = F.col("day") * 86400 + 43200
-    kept = F.col("offset") == _local_of(noon, F.col("zone")) - noon
-    tried = tried.groupBy("source", "zone").agg(F.sum("count").alias("votes"), F.sum(F.when(kept, 0).otherwise(F.col("count"))).alias("violations"))
-    return tried.groupBy("source").agg(F.min_by(F.struct("zone", "votes", "violations"), F.struct("violations", "zone")).alias("best")).select("source", "best.*")
+    before = F.coalesce(F.last("known", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "left")
+    after = F.coalesce(F.first("known", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)), "right")
+    votes = base.select("source", "local", before.alias("a"), after.alias("b")).where(F.col("local").isNotNull() & F.col("b").between(F.col("a"), F.col("a") + gap))
+    outside = lambda z: F.count_if(~F.coalesce(_instant_of(F.col("local"), F.lit(z)).between(F.col("a"), F.col("b")), F.lit(False)))
+    sums = votes.groupBy("source").agg(F.count("*").alias("votes"), *[outside(z).alias(f"v{i}") for i, z in enumerate(zones)])
+    best = F.array_min(F.array(*[F.struct(F.col(f"v{i}").alias("violations"), F.lit(z).alias("zone")) for i, z in enumerate(zones)]))
+    return sums.select("source", best.alias("best"), "votes").select("source", "best.zone", "votes", "best.violations")
 
 
 def normalise(df: DataFrame, text: str, source: str, sequence: str, profiles: DataFrame, out: str = "norm", candidates: list[str] | None = None) -> DataFrame:
@@ -247,7 +245,7 @@ def normalise(df: DataFrame, text: str, source: str, sequence: str, profiles: Da
     joined = df.join(home, F.col(source) == F.col("ts_source"), "left").drop("ts_source")
     parsed = parse(joined, text, "ts_order")
     if not df.select(F.col(source).alias("ts_source")).where("ts_source is not null").distinct().join(home.where("ts_home is not null"), "ts_source", "left_anti").isEmpty():
-        zones = candidates or sorted(r[0] for r in home.select("ts_home").where("ts_home is not null").distinct().limit(1000).collect()) or ["UTC"]
+        zones = candidates or sorted(r[0] for r in home.select("ts_home").where("ts_home is not null").distinct().collect()) or ["UTC"]
         found = estimate_zones(parsed, source, sequence, zones).select(F.col("source").alias("ts_source"), F.col("zone").alias("ts_found"))
         parsed = parsed.join(found, F.col(source) == F.col("ts_source"), "left").withColumn("ts_home", F.coalesce("ts_home", "ts_found")).drop("ts_source", "ts_found")
     return normal_form(parsed, "ts_home", out).drop("ts_home", "ts_order", "ts_date", "ts_local", "ts_zone", "ts_kind", "ts_instant")

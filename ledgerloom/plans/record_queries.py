@@ -154,7 +154,9 @@ def candidates_all(spark, root):
 
 def _candidates(r, t):
     near = r.select(F.col("id").alias("left_id"), F.col("day").alias("ld"), F.col("amount").alias("la")).withColumn("day", F.explode(F.sequence(F.date_sub("ld", 2), F.date_add("ld", 2))))
-    m = near.join(t.select(F.col("id").alias("right_id"), "day", "amount"), "day").where("abs(la - amount) < 10")
+    step = F.floor(F.col("la") / 10)
+    near = near.withColumn("step", F.explode(F.array(step - 1, step, step + 1)))
+    m = near.join(t.select(F.col("id").alias("right_id"), "day", "amount", F.floor(F.col("amount") / 10).alias("step")), ["day", "step"]).where("abs(la - amount) < 10")
     score = F.round(0.5 * (1 - F.abs(F.datediff("ld", "day")) / 3.0) + 0.5 * (1 - F.abs(F.col("la") - F.col("amount")) / 10.0), 6)
     m = evaluate.ranked(m.withColumn("score", score), ["left_id"], [F.desc("score"), F.col("right_id")], "n").where("n <= 3")
     return m.select("left_id", "right_id", "score", "n", F.when(F.col("score") >= 0.85, "strong").when(F.col("score") >= 0.65, "medium").otherwise("weak").alias("strength"))
@@ -167,6 +169,20 @@ def not_matched(spark, root):
     return joins.not_in(c.where("source = 'bank'").select("id"), "id", c.where("matched_transaction_id is not null"), "matched_transaction_id")
 
 
+@query("jon_05_null_rules", """
+    select 'nulls' as case_, count(*) as n from canonical_records where merchant_norm not in (select merchant_norm from gold_transactions)
+    union all select 'no nulls', count(*) from canonical_records where merchant_norm not in (select merchant_norm from gold_transactions where merchant_norm is not null)
+    union all select 'empty', count(*) from canonical_records where merchant_norm not in (select merchant_norm from gold_transactions where false)""")
+def null_rules(spark, root):
+    """JON-05: NOT IN with nulls on both sides, on the left only, and with nothing on the right."""
+    c, g = table(spark, root, "canonical_records").select("merchant_norm"), table(spark, root, "gold_transactions").select("merchant_norm")
+    out = None
+    for name, others in (("nulls", g), ("no nulls", g.where("merchant_norm is not null")), ("empty", g.where("false"))):
+        one = joins.not_in(c, "merchant_norm", others, "merchant_norm").agg(F.count("*").alias("n")).select(F.lit(name).alias("case_"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("jon_08_anti", "select rowid from staging_transactions s where not exists (select 1 from canonical_records c where c.merchant_raw = s.merchant_raw)")
 def anti(spark, root):
     """JON-08..09: staging rows whose merchant the store doesn't have; null keys are kept."""
@@ -303,17 +319,6 @@ def top_confusions(spark, root):
     return evaluate.top_confusions(_labelled(spark, root), "category_final", "category_pred", 10)
 
 
-@query("agg_15_sweep", """
-    with t as (select unnest([0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95])::double as threshold), c as (select category_final as truth, category_pred as model, category_pred as rule, confidence from canonical_records where category_final is not null)
-    select threshold, round(avg(case when coalesce(case when confidence >= threshold then rule else coalesce(model, rule) end = truth, false) then 1.0 else 0.0 end), 6) as accuracy,
-      round(avg(case when coalesce(confidence >= threshold, false) then 1.0 else 0.0 end), 6) as rule_share from c, t group by 1""")
-def sweep(spark, root):
-    """AGG-15..16: accuracy and rule share for eight thresholds in one pass."""
-    c = table(spark, root, "canonical_records").where("category_final is not null").withColumn("rule", F.col("category_pred"))
-    s = evaluate.threshold_sweep(c, "category_final", "rule", "confidence", "category_pred", [0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95])
-    return s.select("threshold", F.round("accuracy", 6).alias("accuracy"), F.round("rule_share", 6).alias("rule_share"))
-
-
 @query("agg_22_delta", """
     with a as (select category_final as truth, category_pred as predicted, count(*) as n from gold_transactions where ingest_batch <= 20 and category_final <> category_pred group by 1, 2),
     b as (select category_final as truth, category_pred as predicted, count(*) as n from gold_transactions where ingest_batch > 20 and category_final <> category_pred group by 1, 2)

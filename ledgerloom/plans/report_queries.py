@@ -60,23 +60,6 @@ def slices(spark, root):
     return a.withColumn("slice", F.lit("food")).unionByName(b.withColumn("slice", F.lit("no_mcc")))
 
 
-_GRID = "(select unnest([0.5, 0.6, 0.7, 0.8, 0.9])::double as rule_t) r, (select unnest([0.3, 0.5, 0.7, 0.9])::double as model_t) m"
-
-
-@query("agg_16_policies", f"""
-    with c as (select category_final as truth, category_pred as model, case when source = 'bank' then 'Other Expense' else category_final end as rule, confidence as rc, match_score as mc from canonical_records where category_final is not null)
-    select rule_t, model_t, round(avg(case when coalesce(case when coalesce(rc < rule_t and mc >= model_t, false) then model else rule end = truth, false) then 1.0 else 0.0 end), 6) as accuracy,
-      count_if(coalesce(rc < rule_t and mc >= model_t, false)) as flips from c, {_GRID} group by 1, 2""")
-def policies(spark, root):
-    """AGG-16: a grid of two thresholds, accuracy and flips of every pair in one pass."""
-    c = table(spark, root, "canonical_records").where("category_final is not null")
-    c = c.select(F.col("category_final").alias("truth"), F.col("category_pred").alias("model"), F.when(F.col("source") == "bank", "Other Expense").otherwise(F.col("category_final")).alias("rule"), F.col("confidence").alias("rc"), F.col("match_score").alias("mc"))
-    grid = c.withColumn("rule_t", F.explode(F.array(*[F.lit(x) for x in (0.5, 0.6, 0.7, 0.8, 0.9)]))).withColumn("model_t", F.explode(F.array(*[F.lit(x) for x in (0.3, 0.5, 0.7, 0.9)])))
-    flip = F.coalesce((F.col("rc") < F.col("rule_t")) & (F.col("mc") >= F.col("model_t")), F.lit(False))
-    right = F.coalesce(F.when(flip, F.col("model")).otherwise(F.col("rule")) == F.col("truth"), F.lit(False))
-    return grid.groupBy("rule_t", "model_t").agg(F.round(F.avg(right.cast("double")), 6).alias("accuracy"), F.count_if(flip).alias("flips"))
-
-
 @query("agg_18_per_truth", "select category_final as truth, count(*) as n, round(avg(case when coalesce(category_pred = category_final, false) then 1.0 else 0.0 end), 6) as hit_rate from gold_transactions where category_final is not null group by 1")
 def per_truth(spark, root):
     """AGG-18: hit rate of every true label, rows without prediction counted as misses."""
@@ -159,17 +142,6 @@ def merge(spark, root):
     return table(spark, root, "gold_transactions").select("id", fp.alias("fp")).join(known, "fp", "left_anti").groupBy("fp").agg(F.min("id").alias("id"))
 
 
-@query("jon_06_pair_metrics", """
-    with p as (select id, matched_transaction_id as b from canonical_records where matched_transaction_id is not null and match_score >= 0.75), t as (select id, matched_transaction_id as b from canonical_records where matched_transaction_id is not null and source = 'receipt'),
-    h as (select count(*) as tp from p join t using (id, b))
-    select (select count(*) from p) as n_predicted, (select count(*) from t) as n_true, tp, round(tp / (select count(*) from p), 6) as precision, round(tp / (select count(*) from t), 6) as recall from h""")
-def pair_metrics(spark, root):
-    """JON-06, SET-01: predicted pairs against true pairs in one pass over their full outer join."""
-    c = table(spark, root, "canonical_records").where("matched_transaction_id is not null").select("id", F.col("matched_transaction_id").alias("b"), (F.col("match_score") >= 0.75).alias("p"), (F.col("source") == "receipt").alias("t"))
-    s = c.agg(F.count_if("p").alias("n_predicted"), F.count_if("t").alias("n_true"), F.count_if(F.col("p") & F.col("t")).alias("tp"))
-    return s.select("*", F.round(F.col("tp") / F.col("n_predicted"), 6).alias("precision"), F.round(F.col("tp") / F.col("n_true"), 6).alias("recall"))
-
-
 @query("evt_01_sessions", """
     with e as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts, event_id) <= interval 30 minute then 0 else 1 end as starts, event_id from events),
     s as (select user_id, ts, sum(starts) over (partition by user_id order by ts, event_id) as session from e)

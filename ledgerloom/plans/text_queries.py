@@ -74,7 +74,7 @@ def ext_receipts(spark, root):
 def _amount_sql(words: str) -> str:
     money = r"(-?\$?\s*\d[\d,]*[.,]\d{2})(?:\D|$)"
     one = lambda x: f"list_last(regexp_extract_all({x}, '(?:^|\\D){money}', 1))"
-    num = lambda x: f"try_cast(regexp_replace({one(x)}, '[\\s$,]', '', 'g') as double)"
+    num = lambda x: f"try_cast(case when not regexp_matches(trim(regexp_replace({one(x)}, '[$,]', '', 'g')), '\\s') then trim(regexp_replace({one(x)}, '[$,]', '', 'g')) end as double)"
     return f"""abs(list_filter(list_transform(range(1, len(ls) + 1), lambda i: case when regexp_matches(upper(ls[i]), '\\b(?:{words})\\b') then coalesce({num('ls[i]')}, {num("coalesce(ls[i + 1], '')")}) end), lambda v: v is not null)[1])"""
 
 
@@ -175,10 +175,10 @@ ORACLES = {
         with r as (select doc_id, text, string_split_regex(text, '\r?\n') as ls from documents where source = 'receipt_ocr' and text is not null),
         k as (select *, list_filter(list_transform(ls, lambda x: trim(x, ' ')), lambda x: x <> '') as ks from r)
         select doc_id, list_filter(ks[1:5], lambda x: length(x) > 3 and not regexp_full_match(x, '\d+'))[1] as merchant,
-          coalesce(nullif(regexp_extract(text, '(\d{{4}}-\d{{2}}-\d{{2}})', 1), ''),
-            case when regexp_matches(text, '\b(\d{{1,2}})[/-](\d{{1,2}})[/-](\d{{4}}|\d{{2}})\b') then
-              (case when length(regexp_extract(text, '\b(\d{{1,2}})[/-](\d{{1,2}})[/-](\d{{4}}|\d{{2}})\b', 3)) = 2 then '20' else '' end) || regexp_extract(text, '\b(\d{{1,2}})[/-](\d{{1,2}})[/-](\d{{4}}|\d{{2}})\b', 3)
-              || '-' || lpad(regexp_extract(text, '\b(\d{{1,2}})[/-](\d{{1,2}})[/-](\d{{4}}|\d{{2}})\b', 1), 2, '0') || '-' || lpad(regexp_extract(text, '\b(\d{{1,2}})[/-](\d{{1,2}})[/-](\d{{4}}|\d{{2}})\b', 2), 2, '0') end) as receipt_date,
+          coalesce(nullif(regexp_extract(text, '\b(\d{{4}}-\d{{2}}-\d{{2}})\b', 1), ''),
+            case when regexp_matches(text, '\b(\d{{1,2}})[/-](\d{{1,2}})[/-](\d{{2,4}})\b') then
+              (case when length(regexp_extract(text, '\b(\d{{1,2}})[/-](\d{{1,2}})[/-](\d{{2,4}})\b', 3)) = 2 then '20' else '' end) || regexp_extract(text, '\b(\d{{1,2}})[/-](\d{{1,2}})[/-](\d{{2,4}})\b', 3)
+              || '-' || lpad(regexp_extract(text, '\b(\d{{1,2}})[/-](\d{{1,2}})[/-](\d{{2,4}})\b', 1), 2, '0') || '-' || lpad(regexp_extract(text, '\b(\d{{1,2}})[/-](\d{{1,2}})[/-](\d{{2,4}})\b', 2), 2, '0') end) as receipt_date,
           {_amount_sql('TOTAL|AMOUNT|BALANCE|GRAND TOTAL')} as total, {_amount_sql('TAX|GST|SALES TAX')} as tax, {_amount_sql('TIP|GRATUITY')} as tip from k""",
     "ext_08_last_number": r"select doc_id, try_cast(replace(list_last(regexp_extract_all(text, '[-+]?\d[\d,]*\.?\d*')), ',', '') as double) as last_number from documents where source = 'ledger_memo'",
     "num_01_amounts": f"select record_id, {_NUMBER} as amount, abs({_NUMBER}) as magnitude, case when {_NUMBER} < 0 then 'expense' else 'income' end as direction from bank_bofa",

@@ -34,7 +34,7 @@ def p2_zones(spark: SparkSession, root: str) -> DataFrame:
     profiles = table(spark, root, "source_profiles")
     rows = table(spark, root, "staging_transactions").join(profiles, "source")
     parsed = timestamps.parse(rows, "txn_ts", "date_order")
-    zones = sorted(r.zone for r in profiles.select("zone").distinct().limit(1000).collect())
+    zones = sorted(r.zone for r in profiles.select("zone").distinct().collect())
     found = timestamps.estimate_zones(parsed, "source", "rowid", zones)
     return found.join(profiles.select("source", F.col("zone").alias("declared")), "source")
 
