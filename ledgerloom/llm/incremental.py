@@ -67,15 +67,20 @@ def chunk_table(pays: DataFrame, *slot: str) -> DataFrame:
     return rows.select(F.xxhash64("slot", "word").alias("chunk"), "pay", "bytes", "total")
 
 
-def covered_pairs(table: DataFrame, asked: DataFrame, least: float = MIN_COVERAGE, bound: int = records.BOUND) -> DataFrame:
-    """Pairs (a < b) of payments whose shared chunks cover ``least`` of the shorter name.
+def rare(table: DataFrame, asked: DataFrame, bound: int = records.BOUND) -> DataFrame:
+    """The asked chunks that at most ``bound`` payments of the table have.
 
-    A chunk that more than ``bound`` payments of a slot have tells nothing, and
-    would meet itself in their square: it is left out. Its payments stand in a
-    slot beyond the bound, where ``records.slot_pairs`` compares names by exact keys.
+    A chunk that more payments of a slot have tells nothing, and would meet
+    itself in their square. They stand in a slot beyond the bound, where
+    ``records.slot_pairs`` compares names by exact keys.
     """
-    common = table.groupBy("chunk").agg(F.count("*").alias("n")).where(F.col("n") > bound).select("chunk")
-    met = asked.join(common, "chunk", "left_anti").alias("q").join(table.alias("t"), "chunk").where("q.pay <> t.pay")
+    held = table.join(asked.select("chunk").distinct(), "chunk", "left_semi").groupBy("chunk").agg(F.count("*").alias("n"))
+    return asked.join(held.where(F.col("n") > bound).select("chunk"), "chunk", "left_anti")
+
+
+def covered_pairs(table: DataFrame, asked: DataFrame, least: float = MIN_COVERAGE) -> DataFrame:
+    """Pairs (a < b) of payments whose shared chunks cover ``least`` of the shorter name."""
+    met = asked.alias("q").join(table.alias("t"), "chunk").where("q.pay <> t.pay")
     met = met.select(F.least("q.pay", "t.pay").alias("a"), F.greatest("q.pay", "t.pay").alias("b"), "chunk", "q.bytes", F.least("q.total", "t.total").alias("total"))
     shared = met.groupBy("a", "b").agg(F.sum("bytes").alias("bytes"), F.min("total").alias("total"), F.count_distinct("chunk").alias("k"), F.count("*").alias("met"))
     return shared.where(F.col("bytes") * F.col("k") / F.col("met") >= least * F.col("total")).select("a", "b")
@@ -84,7 +89,10 @@ def covered_pairs(table: DataFrame, asked: DataFrame, least: float = MIN_COVERAG
 def candidate_pairs(new: DataFrame, every: DataFrame, chunks: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs of payments to be confirmed: one of ``new``, the other of ``every`` (with its chunk table)."""
     asked = scratch.written(records.probes(new, every), "asked")
-    wanted = chunk_table(asked, "dir", "cents", "at")
+    few, hot = asked.where(F.col("n") <= records.BOUND), asked.where(F.col("n") > records.BOUND)
+    wanted = chunk_table(few, "dir", "cents", "at")
+    if not hot.isEmpty():
+        wanted = wanted.unionByName(rare(chunks, scratch.written(chunk_table(hot, "dir", "cents", "at"), "hot")))
     return covered_pairs(chunks, wanted).unionByName(records.slot_pairs(asked, every)).distinct()
 
 
