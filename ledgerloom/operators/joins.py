@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ledgerloom.functions.scalars import closeness
+from ledgerloom.operators.matching import best_in_cells
+
+LEAST_RATIO = 0.7
 
 
 def _ratio(x: str | None, y: str | None, least: float) -> float:
@@ -24,7 +27,12 @@ def _ratio(x: str | None, y: str | None, least: float) -> float:
     return r if r >= least else 0.0
 
 
-def floored_ratio(a: Column, b: Column, least: float = 0.7) -> Column:
+def equal_names(a: Column, b: Column) -> Column:
+    """1 for equal names, 0 for others and nulls."""
+    return F.when(a == b, 1.0).otherwise(0.0)
+
+
+def floored_ratio(a: Column, b: Column, least: float = LEAST_RATIO) -> Column:
     """Ratcliff-Obershelp ratio of two texts, 0 below ``least`` and for null or empty texts.
 
     Upper bounds of the ratio, from lengths and letter counts, spare most
@@ -48,15 +56,22 @@ def best_match(left: DataFrame, right: DataFrame, similarity, days: int = 3, tol
     """(left_id, right_id, score): for each left row its best right row by date, amount and name.
 
     Both sides have (id, day date, amount, name, rank). Dates must be less than
-    ``days`` apart and amounts less than ``tolerance``. Left rows are exploded to
-    the days around theirs and to three steps of ``tolerance`` around their
-    amount, so the join is an equi join on day and step. ``similarity`` (0 to 1)
-    is a function of two name columns, asked only for candidates that could
-    still win: those whose score without the name is within its weight of the
-    left row's best. The highest score wins, ties go to the lower right rank. Left rows without a match, or with one below ``least``, appear
+    ``days`` apart and amounts less than ``tolerance``. ``similarity`` (0 to 1)
+    is a function of two name columns. The highest score wins, ties go to the
+    lower right rank. Left rows without a match, or with one below ``least``, appear
     with a null right_id (and the best score, 0 without candidates). Right rows
     with a null id can win, and then give a null right_id too.
+
+    ``equal_names`` and ``floored_ratio`` are searched in cells (``matching``),
+    without listing all pairs. For other similarities left rows are exploded to
+    the days around theirs and to three steps of ``tolerance`` around their
+    amount, so the join is an equi join on day and step, and the similarity is
+    asked only for candidates that could still win: those whose score without
+    the name is within its weight of the left row's best.
     """
+    if similarity in (equal_names, floored_ratio):
+        ratio = (lambda x, y: _ratio(x, y, LEAST_RATIO)) if similarity is floored_ratio else None
+        return best_in_cells(left, right, ratio, LEAST_RATIO, days, tolerance, weights, least)
     a = left.select(F.col("id").alias("left_id"), F.col("day").alias("left_day"), F.col("amount").alias("left_amount"), F.col("name").alias("left_name"), F.col("rank").alias("left_rank"))
     b = right.select(F.col("id").alias("right_id"), F.col("day").alias("right_day"), F.col("amount").alias("right_amount"), F.col("name").alias("right_name"), F.col("rank").alias("right_rank"))
     step = F.floor(F.col("left_amount") / tolerance)

@@ -95,10 +95,13 @@ def _sides(spark, root):
 def _all_sides(spark, root):
     """Receipts and other rows whatever the writing of their dates (in the order of their source); rows without a usable date have a null day."""
     home = table(spark, root, "source_profiles").select(F.col("source").alias("of"), "zone", "date_order")
-    c = table(spark, root, "canonical_records").join(F.broadcast(home), F.col("source") == F.col("of"), "left")
-    c = timestamps.local_day(c, "transaction_date", "zone", "date_order")
-    c = c.select("id", "source", "day", "amount", F.lower(F.coalesce("merchant_norm", "merchant_raw")).alias("name"), F.col("id").alias("rank"))
-    return c.where("source = 'receipt'"), c.where("source <> 'receipt' and day is not null")
+
+    def side(rows):  # filtered first: parsing is the dear part, and no filter gets below it
+        c = table(spark, root, "canonical_records").where(rows).join(F.broadcast(home), F.col("source") == F.col("of"), "left")
+        c = timestamps.local_day(c, "transaction_date", "zone", "date_order")
+        return c.select("id", "source", "day", "amount", F.lower(F.coalesce("merchant_norm", "merchant_raw")).alias("name"), F.col("id").alias("rank"))
+
+    return side("source = 'receipt'"), side("source <> 'receipt'").where("day is not null")
 
 
 def _equal(a, b):
