@@ -104,10 +104,6 @@ def _all_sides(spark, root):
     return side("source = 'receipt'"), side("source <> 'receipt'").where("day is not null")
 
 
-def _equal(a, b):
-    return F.when(a == b, 1.0).otherwise(0.0)
-
-
 @query("jon_01_best_match", r"""
     with c as (select id, source, try_cast(transaction_date as date) as day, amount, lower(coalesce(merchant_norm, merchant_raw)) as name from canonical_records where regexp_full_match(transaction_date, '\d{4}-\d{2}-\d{2}')),
     r as (select * from c where source = 'receipt' and day is not null), t as (select * from c where source <> 'receipt' and day is not null),
@@ -118,7 +114,7 @@ def _equal(a, b):
 def best_match(spark, root):
     """JON-01..02: receipts to transactions by date, amount and equal names; as its SQL, only rows with a date written yyyy-MM-dd."""
     receipts, others = _sides(spark, root)
-    m = joins.best_match(receipts, others, _equal)
+    m = joins.best_match(receipts, others, joins.equal_names)
     return m.select("left_id", "right_id", F.round("score", 6).alias("score"))
 
 
@@ -126,7 +122,7 @@ def best_match(spark, root):
 def best_match_all(spark, root):
     """JON-01..02: the same for every receipt, whatever the writing of its date (no SQL)."""
     receipts, others = _all_sides(spark, root)
-    m = joins.best_match(receipts, others, _equal)
+    m = joins.best_match(receipts, others, joins.equal_names)
     return m.select("left_id", "right_id", F.round("score", 6).alias("score"))
 
 

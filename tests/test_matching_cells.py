@@ -4,6 +4,7 @@ from difflib import SequenceMatcher
 
 from ledgerloom.operators import joins
 from ledgerloom.operators.joins import best_match
+from ledgerloom.plans import record_queries
 
 FIELDS = "id string, day date, amount double, name string, rank string"
 NAMES = ["acme tools", "acme tool", "acme", "tools acme", "acme tools and hardware supplies of the northern valley region limited", "acme tols and hardware supplies of the northern valley region limited", "", None, "zebra café", "zebra cafe", "zbera cafe", "stall", "stalls"]
@@ -53,3 +54,8 @@ def test_pairs_are_not_listed(spark):
         got = best_match(a.withColumn("amount", a.amount.cast("double")), b.withColumn("amount", b.amount.cast("double")), similarity)
         assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
         assert got.where("score >= 0.9").count() == n
+
+
+def test_best_match_all_lists_no_pairs(spark):
+    plan = record_queries.best_match_all(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan and "Window" not in plan
