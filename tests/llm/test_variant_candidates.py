@@ -46,3 +46,15 @@ def test_normalised_names_only_propose(spark):
     rows = [("Stapevegro Bakery", "s")] * 3 + [("Stpvegro Bakery", "s"), ("Zathadotra Fuel Depot", "s"), ("Klechethasham Mfg", None)]
     df = spark.createDataFrame(rows, "merchant_raw string, merchant_norm string")
     assert {tuple(r) for r in variants.variant_pairs(variants.spellings(df, "merchant_raw", "merchant_norm")).collect()} == {("Stapevegro Bakery", "Stpvegro Bakery")}
+
+
+def test_names_with_a_common_word_and_initial_do_not_all_meet(spark):
+    """Equal trade and first letter once made a pair of every short and long token; the order of letters tells them apart."""
+    short, long = [f"h{a}{b}{c}" for a in "aeiou" for b in "bdkmp" for c in "aeiou"], [f"h{a}stl{b}gren" for a in "aeiou" for b in "aeiou"]
+    forms = [f"{t} manufacturing" for t in short + long] + ["hastl manufacturing"]
+    df = spark.createDataFrame([(0, f, f) for f in forms], "g long, fid string, form string")
+    wanted = {(a, b) for a, b in itertools.combinations(sorted(forms), 2) if relation(a, b)}
+    found = {tuple(r) for r in alike.candidates(df).collect()}
+    assert wanted - found == set() and ("hastl manufacturing", "hastlagren manufacturing") in wanted
+    mixed = [p for p in found if len(p[0].split(" ")[0]) != len(p[1].split(" ")[0])]
+    assert len(mixed) < len(short) * len(long) / 10
