@@ -10,10 +10,12 @@ bits, the *nodes* between which links are drawn.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BooleanType, StringType
 
 from ledgerloom.llm import alike
 from ledgerloom.llm.names import core, relation
@@ -25,9 +27,17 @@ PAY = ("dir", "cents", "day", "form")
 
 
 @F.pandas_udf(StringType())
-def name_form(s: pd.Series) -> pd.Series:
+def name_form(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     known: dict = {}
-    return s.map(lambda x: known[x] if x in known else known.setdefault(x, core(x)))
+    for s in batches:
+        if len(known) > 1 << 17:
+            known.clear()
+        yield s.map(lambda x: known[x] if x in known else known.setdefault(x, core(x)))
+
+
+@F.pandas_udf(BooleanType())
+def same_payee(x: pd.Series, y: pd.Series) -> pd.Series:
+    return pd.Series([a == b or relation(a, b, edits=2) is not None for a, b in zip(x, y)], dtype=bool)
 
 
 def cents(amount: Column) -> Column:
@@ -51,6 +61,11 @@ def reference(source: Column, record_id: Column) -> Column:
     return digest(F.lit("r"), source, bare)
 
 
+def payment(*parts: str) -> Column:
+    """Node of a payment, from the columns with its direction, cents, day and form."""
+    return digest(F.lit("p"), *[F.col(c) for c in parts])
+
+
 def keyed(df: DataFrame, *keep: str | Column) -> DataFrame:
     """id, the columns ``keep``, ref, the parts of the payment (dir, cents, day, form) and node.
 
@@ -62,13 +77,14 @@ def keyed(df: DataFrame, *keep: str | Column) -> DataFrame:
     ref = reference(F.col("source"), F.col("source_record_id"))
     parts = [direction(F.col("direction")).alias("dir"), cents(F.col("amount")).alias("cents"), day.alias("day"), F.nullif(name_form("merchant_raw"), F.lit("")).alias("form")]
     base = df.select("id", *keep, ref.alias("ref"), *parts)
-    pay = digest(F.lit("p"), *[F.col(c) for c in PAY])
+    pay = payment(*PAY)
     return base.withColumn("node", F.coalesce(pay, "ref")).withColumn("paid", pay.isNotNull())
 
 
 def payments(rows: DataFrame) -> DataFrame:
     """Distinct payments: node, pay (64 bits of it, to join with) and parts."""
-    return rows.where("paid").select("node", F.xxhash64("node").alias("pay"), *PAY).distinct()
+    distinct = rows.where("paid").select(*PAY).distinct().select(payment(*PAY).alias("node"), *PAY)
+    return distinct.select("node", F.xxhash64("node").alias("pay"), *PAY)
 
 
 def probes(new: DataFrame, every: DataFrame) -> DataFrame:
@@ -92,15 +108,44 @@ def slot_pairs(asked: DataFrame, every: DataFrame, bound: int = BOUND) -> DataFr
     o = every.select("dir", "cents", F.col("day").alias("at"), F.col("pay").alias("o"))
     few = asked.where(F.col("n") <= bound).join(o, ["dir", "cents", "at"]).where("o <> pay")
     few = few.select(F.least("o", "pay").alias("a"), F.greatest("o", "pay").alias("b"))
-    hot = asked.where(F.col("n") > bound)
+    more = hot_pairs(asked.where(F.col("n") > bound), every)
+    return few.distinct() if more is None else few.unionByName(more).distinct()
+
+
+def hot_pairs(hot: DataFrame, every: DataFrame) -> DataFrame | None:
+    """Pairs (a < b, as pay) of alike names of the slots that the payments ``hot`` ask for; None if there are no such payments."""
     slots = hot.select("dir", "cents", "at").distinct()
     members = every.join(slots.withColumnRenamed("at", "day"), ["dir", "cents", "day"], "left_semi").select("pay", *PAY)
     members = members.unionByName(hot.select("pay", *PAY)).distinct()
     two = F.explode(F.array(F.floor(F.col("day") / 2) * 2, F.floor((F.col("day") + 1) / 2) * 2 - 1))
     members = members.withColumn("half", two).select(F.xxhash64("dir", "cents", "half").alias("g"), F.col("pay").alias("fid"), "form")
-    if members.isEmpty():
-        return few.distinct()
-    return few.unionByName(alike.candidates(members, edits=2)).distinct()
+    return None if members.isEmpty() else alike.candidates(members, edits=2)
+
+
+def crowded(every: DataFrame, bound: int = BOUND) -> DataFrame:
+    """The slots (dir, cents, at) that more than ``bound`` payments stand in, with their number n."""
+    return every.groupBy("dir", "cents", F.col("day").alias("at")).agg(F.count("*").alias("n")).where(F.col("n") > bound)
+
+
+def slot_links(new: DataFrame, near: DataFrame | None, hot: DataFrame | None) -> DataFrame:
+    """Links (a, b, as nodes) between payments ``new`` and others of slots that aren't among the slots ``hot``, of ``new`` or of those ``near``.
+
+    Every pair is met once and its names are compared where it is met: of two
+    new payments the earlier one, or of one day the one with the lesser form,
+    looks for the other. ``relation`` may depend on which name comes first; as
+    in ``confirmed`` it is that of the lesser pay.
+    """
+    reach = [F.col("day"), F.col("day") + 1] + [F.col("day") - 1] * (near is not None)
+    asked = new.select(*PAY, F.explode(F.array(*reach)).alias("at"))
+    if hot is not None:
+        asked = asked.join(hot.select("dir", "cents", "at"), ["dir", "cents", "at"], "left_anti")
+    there = new.select("dir", "cents", F.col("day").alias("at"), F.col("form").alias("other"), F.lit(True).alias("fresh"))
+    if near is not None:
+        there = there.unionByName(near.select("dir", "cents", F.col("day").alias("at"), F.col("form").alias("other"), F.lit(False).alias("fresh")))
+    met = asked.join(there, ["dir", "cents", "at"]).where("not fresh or at > day or (at = day and form < other)")
+    met = met.select("form", "other", payment(*PAY).alias("a"), payment("dir", "cents", "at", "other").alias("b"))
+    met = met.select("a", "b", "form", "other", (F.xxhash64("a") < F.xxhash64("b")).alias("first"))
+    return met.where(same_payee(F.when(F.col("first"), F.col("form")).otherwise(F.col("other")), F.when(F.col("first"), F.col("other")).otherwise(F.col("form")))).select("a", "b")
 
 
 def _same(batches):
